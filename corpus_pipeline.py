@@ -42,11 +42,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each secret replaced by a mark; others as they are."""
-    rows = secrets.scan(docs)
-    changed = F.size("spans") > 0
-    text = secrets.redacted(F.col("text"), F.col("spans"))
-    rows = rows.withColumn("_text", text)
-    own = {"text": F.col("_text"), "n_chars": F.when(changed, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
+    rows = secrets.scan(docs, out="_secret_spans")
+    rows = rows.withColumn("_redacted", secrets.redacted(F.col("text"), F.col("_secret_spans")))
+    own = {"text": F.col("_redacted")}
+    if "n_chars" in docs.columns:
+        length = F.length("_redacted").cast(docs.schema["n_chars"].dataType)
+        own["n_chars"] = F.when(F.size("_secret_spans") > 0, length).otherwise(F.col("n_chars"))
     return rows.select(*(own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns))
 
 

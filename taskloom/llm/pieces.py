@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SPACE = "▁"
-MEMO = 400_000
+MEMO = 800_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -164,12 +164,23 @@ class PieceCodec:
         return text[1:] if text[:1] == " " else text
 
 
+_codecs: dict[str, PieceCodec] = {}
+
+
+def codec_of(model_file: str) -> PieceCodec:
+    """One codec a Python worker, so that what a task has learnt serves the next one."""
+    if model_file not in _codecs:
+        _codecs.clear()
+        _codecs[model_file] = PieceCodec(model_file)
+    return _codecs[model_file]
+
+
 def encode_documents(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, exact (decoding gives the text back) and, if wanted, ids."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        codec = PieceCodec(model_file)
+        codec = codec_of(model_file)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = codec.encode(texts)
@@ -190,7 +201,7 @@ def decode_documents(encoded: DataFrame, model_file: str, *, id_col: str = "doc_
     small_batches(encoded.sparkSession)
 
     def run(batches):
-        codec = PieceCodec(model_file)
+        codec = codec_of(model_file)
         for batch in batches:
             texts = [None if x is None else codec.decode(np.array(x, "<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": pa.array(texts, pa.string())})

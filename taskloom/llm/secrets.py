@@ -173,18 +173,18 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(F.filter(lengths, lambda x: x["n"].isNotNull()), start, step, lambda a: a["out"])
 
 
-def scan(docs: DataFrame, rules=RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column `spans`: array<struct<start, kind, end>> of all rules, by start, then kind."""
+def scan(docs: DataFrame, rules=RULES, *, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
+    """docs with a column `out` (it replaces one of that name): array<struct<start, kind, end>> of all rules, by start, then kind."""
     queries = [trigram_query(r.pattern) for r in rules]
     index = build_index(docs, sorted(set().union(*map(trigrams_of, queries))), id_col=id_col, text_col=text_col)
     # stored, so that its size is known when the join is planned: broadcast if it is small, else a sort-merge join
-    found = stored(candidates(index, queries).select(F.col("doc_id").alias("_id"), "rule_bits"), "secret-candidates")
-    rows = docs.join(found, F.col(id_col).cast("long") == F.col("_id"), "left")
-    bits = F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(F.coalesce("rule_bits", F.lit(0).cast("long")))
+    found = stored(candidates(index, queries).select(F.col("doc_id").alias("_secret_id"), F.col("rule_bits").alias("_secret_bits")), "secret-candidates")
+    rows = docs.join(found, F.col(id_col).cast("long") == F.col("_secret_id"), "left")
+    bits = F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(F.coalesce("_secret_bits", F.lit(0).cast("long")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     parts = [F.when((F.lit(True) if q is True else bits.bitwiseAND(F.lit(1 << k).cast("long")) != 0) & text.rlike(r.pattern), spans_of(text, r, k)).otherwise(none) for k, (r, q) in enumerate(zip(rules, queries))]
-    return rows.withColumn("spans", F.sort_array(F.concat(*parts))).drop("_id", "rule_bits")
+    return rows.withColumn(out, F.sort_array(F.concat(*parts))).drop("_secret_id", "_secret_bits")
 
 
 def written(spans: Column, rules=RULES) -> Column:
