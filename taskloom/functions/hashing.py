@@ -15,7 +15,7 @@ def folded_hash(text: Column) -> Column:
     x = x.bitwiseXOR(F.shiftright(x, 16))
     # 32 x 64 bits in two halves that stay below 2**63: the high product only matters modulo 2**32
     low, high = GOLDEN & 0xFFFFFFFF, GOLDEN >> 32
-    half = lambda k: F.lit(k).cast("decimal(38,0)")
+    half = lambda k: F.lit(str(k)).cast("decimal(38,0)")
     d = x.cast("decimal(20,0)")
     product = (d * half(high) % half(1 << 32)) * half(1 << 32) + d * half(low)
     product = (product % half(1 << 64)).cast("decimal(20,0)")

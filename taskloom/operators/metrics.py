@@ -173,6 +173,23 @@ def soft_f1(similarity: list[list[float]]) -> float:
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
+def phrase_scores(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds score: soft F1 of two lists of phrase vectors by their cosines held to 0..1."""
+    import numpy as np
+
+    def unit(m) -> np.ndarray:
+        x = np.array([np.asarray(v, float) for v in m]) if len(m) else np.zeros((0, 1))
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def run(parts):
+        for pdf in parts:
+            pdf["score"] = [soft_f1(np.clip(unit(x) @ unit(y).T, 0, 1).tolist()) if len(x) and len(y) else float(len(x) == len(y)) for x, y in zip(pdf[a], pdf[b])]
+            yield pdf.drop(columns=[a, b])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in (a, b))
+    return rows.mapInPandas(run, f"{kept}, score double")
+
+
 def best_matching(weight: list[list[float]]) -> list[tuple[int, int]]:
     """Pairs of a matching of greatest weight (Kuhn-Munkres by shortest augmenting paths with potentials)."""
     flip = len(weight) > len(weight[0])

@@ -103,12 +103,12 @@ def next_action_qa(frames: DataFrame, ep: list[str], *, skip: float = 0.4, finis
 
 @handler("c")
 def progress_qa(frames: DataFrame, ep: list[str], *, skip: float = 0.2, finished_most: int = 10, seed: int = 0, root: str = "images") -> DataFrame:
-    """What is still required and the progress, with two decimals."""
+    """What is still required and the progress, with two decimals, halves to even."""
     rows = _with_images(_sampled(frames, ep, "progress_frac", skip=skip, finished_most=finished_most, seed=seed, salt="c"), ep, seed, "c", root)
     reason = tx.finish_reason(F.col("cot"))
     rows = rows.where(~F.col("finished") | reason.isNotNull())
     done = F.concat(reason, F.lit(".\nTherefore, the estimated progress is <progress>100%</progress>."))
-    steps = F.concat(F.lit("The following actions are required: \n"), tx.numbered(F.col("planned_actions")), F.lit("\nTherefore, the estimated progress is <progress>"), F.format_string("%.2f%%", F.col("progress_frac") * 100), F.lit("</progress>."))
+    steps = F.concat(F.lit("The following actions are required: \n"), tx.numbered(F.col("planned_actions")), F.lit("\nTherefore, the estimated progress is <progress>"), F.format_string("%.2f%%", F.bround(F.col("progress_frac") * 100, 2)), F.lit("</progress>."))
     question = F.concat(F.repeat(F.lit("<image>\n"), F.size("image")), tx.filled(PROMPTS["c"], task=F.col("task")))
     return rows.select(*ep, "frame_id", "image", conversation(question, F.when(F.col("finished"), done).otherwise(steps)).alias("conversations"))
 

@@ -27,9 +27,15 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["a11_overall_metrics"](spark, sf_dir)
 
 
+def _load() -> None:
+    from taskloom.plans import metric_queries, relation_queries, sequence_queries, source_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL

@@ -27,7 +27,7 @@ _EPISODE = r"(episode_\d+)[^/]*$"
 
 def estimated_bytes(df: DataFrame) -> int:
     """Size by the optimizer's statistics, without running anything."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
