@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from .common import keyed, small_batches, stored, texts_of
 MAGIC = b"TLBP1\0\0\0"
 BLOCK = 1 << 16
 IMAGE_IDS = 1 << 21
-MEMO = 400_000
+MEMO = 800_000
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -95,28 +96,63 @@ def decode_image(image: bytes) -> np.ndarray:
 
 class WordEncoder:
     """Ids of a text as uint32 bytes.  The tokenizer drops white space before it looks at anything, so a text's
-    ids are its words' ids in turn; each word goes through the library once and is then remembered, up to `limit` words."""
+    ids are its words' ids in turn; each word goes through the library once and is then remembered, up to `limit` words.
+
+    A word that is letters and one closing mark is looked up by its letters: the tokenizer parts letters from marks, and
+    lower-cases, before it merges."""
 
     def __init__(self, path: str, limit: int = MEMO):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.memo, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tokenizer, self.memo, self.cores, self.limit = Tokenizer.from_file(path), {}, {}, limit
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 10_000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts[i : i + 10_000], add_special_tokens=False)]
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        parts: dict[bytes, tuple[str, str]] = {}
+        for w in words:
+            text = w.decode()
+            mark = text[-1] if text[-1] in ".,;:!?" else ""
+            core = text[:-1] if mark else text
+            if core.isalpha() and max(core) < "\u0130":  # there lower() agrees with the tokenizer's own, letter by letter
+                parts[w] = core.lower(), mark
+            else:
+                parts[w] = text, ""
+        new = list({p for pair in parts.values() for p in pair if p} - self.cores.keys())
+        self.cores.update(zip(new, self._library(new)))
+        cores = self.cores
+        for w, (core, mark) in parts.items():
+            self.memo[w] = cores[core] + cores[mark] if mark else cores[core]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        memo = self.memo
         words = [t.split() if t else [] for t in texts]
-        new = list(set().union(*words) - self.memo.keys())
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = list(set().union(*words))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.memo.__getitem__
+        new = {w for ws in words for w in ws if w not in memo}
+        if len(memo) + len(new) > self.limit:
+            memo.clear()
+            self.cores.clear()
+            new = set().union(*words)
+        self._learn(new)
+        get = memo.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder_of(path: str, limit: int = MEMO) -> WordEncoder:
+    """One encoder a Python worker, so that what a task has learnt serves the next one."""
+    if (path, limit) not in _encoders:
+        _encoders.clear()
+        _encoders[path, limit] = WordEncoder(path, limit)
+    return _encoders[path, limit]
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, block: int = BLOCK, image_ids: int = IMAGE_IDS) -> DataFrame:
     """Encodes all texts and writes their ids, in ascending id order; returns the container table:
     part, seq, n_ids, doc_ids, doc_lengths, image."""
@@ -129,7 +165,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col: str
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encoder, seq, held, ids, lengths, total, part = WordEncoder(tokenizer_path), 0, [], [], [], 0, 0
+        encoder, seq, held, ids, lengths, total, part = encoder_of(tokenizer_path), 0, [], [], [], 0, 0
 
         def image():
             flat = np.frombuffer(b"".join(held), "<u4")
