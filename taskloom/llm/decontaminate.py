@@ -6,9 +6,10 @@ of the benchmark.  Every passage of every document (windows of twice the longest
 whole text) is a query.  An item's impacts are divided by the score the item has against itself, so a score
 is the share of the item that the passage carries and one threshold serves short and long items.
 
-A passage is scored by document-at-a-time WAND with the maximum of each block of postings; before that, the same kind of
+Inverse frequencies are those of the training documents, counted in a pass over all of them for the terms of the shard's items; so
+words that the corpus has everywhere weigh little.  A passage is scored by document-at-a-time WAND with the maximum of each block of postings; before that, the same kind of
 bound over the whole shard rules most passages out: common terms that together can't bring any item to the threshold
-are left out, and the best impacts of the others in the window must make up the difference.  Neither drops an item that
+are left out, and the best impacts of the others in the window, then those of each item, must make up the difference.  Neither drops an item that
 reaches the threshold.  What is retrieved is verified on word triples: at least `overlap` of those of the item's question (the
 first half of its words) and of its answer (the second half) must stand in the passage.
 
@@ -47,17 +48,17 @@ def triples(words: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
 class Index:
     """BM25 postings of items, by term: item numbers and impacts in order, with the best impact of each block."""
 
-    def __init__(self, items: list[tuple[int, str | None]], *, k1: float = K1, b: float = B, block: int = BLOCK, threshold: float = THRESHOLD, common: float = COMMON):
+    def __init__(self, items: list[tuple[int, str | None]], df: dict[bytes, int], n_docs: int, *, k1: float = K1, b: float = B, block: int = BLOCK, threshold: float = THRESHOLD, common: float = COMMON):
+        common = min(common, 0.6 * threshold)
         texts = [(i, words_of(t)) for i, t in items]
         texts = sorted((i, w) for i, w in texts if w)
         self.ids = [i for i, _ in texts]
         self.halves = [(triples(w[: (len(w) + 1) // 2]), triples(w[(len(w) + 1) // 2 :])) for _, w in texts]
         self.longest, self.block, self.threshold = max((len(w) for _, w in texts), default=0), block, threshold
-        df = Counter(t for _, w in texts for t in set(w))
         mean = sum(len(w) for _, w in texts) / max(1, len(texts))
         self.postings: dict[bytes, tuple[list[int], list[float], list[float]]] = {}
         for n, (_, w) in enumerate(texts):
-            own = {t: math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean)) for t, c in Counter(w).items()}
+            own = {t: math.log(1 + (n_docs - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean)) for t, c in Counter(w).items()}
             total = sum(own.values())
             for t, x in own.items():
                 at = self.postings.setdefault(t, ([], [], []))
@@ -66,17 +67,26 @@ class Index:
         for nums, impacts, best in self.postings.values():
             best.extend(max(impacts[i : i + block]) for i in range(0, len(nums), block))
         self.best = {t: max(p[2]) for t, p in self.postings.items()}
-        # the most frequent terms, as long as they can't bring any item above `common`
+        # the most frequent terms, as long as all of them together can't bring any item above `common`
         held, self.left_out = [0.0] * len(texts), 0.0
         self.rare = dict(self.best)
-        for t in sorted(df, key=lambda t: (-df[t], t)):
+        for t in sorted(self.postings, key=lambda t: (-df.get(t, 0), t)):
             nums, impacts, _ = self.postings[t]
-            if df[t] < 2 or any(held[n] + x > common * threshold * 2 for n, x in zip(nums, impacts)):
-                break
-            for n, x in zip(nums, impacts):
-                held[n] += x
-            self.left_out = max(held)
-            del self.rare[t]
+            if all(held[n] + x <= common for n, x in zip(nums, impacts)):
+                for n, x in zip(nums, impacts):
+                    held[n] += x
+                del self.rare[t]
+        self.held, self.left_out = held, max(held, default=0.0)
+        self.rare_postings = {t: list(zip(*self.postings[t][:2])) for t in self.rare}
+
+    def hopeful(self, terms: set[bytes]) -> bool:
+        """Whether some item can reach the threshold: its impacts of the passage's rare terms and of all left-out ones."""
+        rare, got = self.rare_postings, {}
+        for t in terms & rare.keys():
+            for n, x in rare[t]:
+                got[n] = got.get(n, 0.0) + x
+        held, need = self.held, self.threshold - 1e-9
+        return any(x + held[n] >= need for n, x in got.items())
 
     def search(self, terms: set[bytes]) -> list[tuple[int, float]]:
         """(item number, score) of all items that reach the threshold, by block-max WAND."""
@@ -129,16 +139,19 @@ class Index:
         stride = max(LEAST_WINDOW, self.longest)
         get = self.rare.get
         best = np.fromiter((get(w, 0.0) for w in words), np.float64, len(words))
-        if best.sum() < self.threshold - self.left_out - 1e-9:
+        need = self.threshold - self.left_out - 1e-9
+        if best.sum() < need:
             return {}
         total = np.r_[0.0, np.cumsum(best)]
         starts = np.arange(0, max(1, len(words) - stride), stride)
         bounds = total[np.minimum(starts + 2 * stride, len(words))] - total[starts]
         out: dict[int, tuple[float, float, float, int]] = {}
-        for s in starts[bounds >= self.threshold - self.left_out - 1e-9].tolist():
+        for s in starts[bounds >= need].tolist():
             passage = words[s : s + 2 * stride]
-            there = None
-            for n, score in self.search(set(passage)):
+            terms, there = set(passage), None
+            if not self.hopeful(terms):
+                continue
+            for n, score in self.search(terms):
                 there = there or triples(passage)
                 q, a = (len(h & there) / len(h) if h else 1.0 for h in self.halves[n])
                 if q >= overlap and a >= overlap and (n not in out or score > out[n][0]):
@@ -156,6 +169,23 @@ def item_shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int):
         yield [(r["i"], r["t"]) for r in part.collect()]
 
 
+def document_counts(docs: DataFrame, terms: set[bytes]) -> tuple[dict[bytes, int], int]:
+    """(documents that have each term, documents) over all (id, text) rows; as many numbers as the shard's items have terms."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        wanted, counts, n = sent.value, Counter(), 0
+        for batch in batches:
+            n += batch.num_rows
+            for text in batch.column(1).to_pylist():
+                counts.update(wanted.intersection(words_of(text)))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.binary()), pa.array([n, *counts.values()], pa.int64())], names=["term", "n"])
+
+    rows = docs.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = {None if r["term"] is None else bytes(r["term"]): r["n"] for r in rows}
+    return counts, counts.pop(None, 0)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, passage_start of each document and item found in it."""
     spark = docs.sparkSession
@@ -164,7 +194,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
     found = None
     for shard in item_shards(items, item_col, item_text_col, shard_bytes):
-        sent = spark.sparkContext.broadcast(Index(shard, threshold=threshold))
+        df, n_docs = document_counts(rows, {w for _, t in shard for w in words_of(t)})
+        sent = spark.sparkContext.broadcast(Index(shard, df, n_docs, threshold=threshold))
 
         def run(batches, sent=sent):
             index = sent.value
