@@ -164,10 +164,10 @@ def segmentation_totals(scored: DataFrame) -> DataFrame:
 
 
 def soft_f1(similarity: list[list[float]]) -> float:
-    """Soft F1 of the best matching of two phrase lists by similarity; 1 for two empty lists."""
+    """Soft F1 of the best matching of two phrase lists by similarity; 0 if one is empty."""
     n, m = len(similarity), len(similarity[0]) if similarity else 0
     if not n or not m:
-        return float(n == m)
+        return 0.0
     total = sum(similarity[i][j] for i, j in best_matching(similarity))
     p, r = total / n, total / m
     return 2 * p * r / (p + r) if p + r else 0.0
@@ -183,7 +183,7 @@ def phrase_scores(rows: DataFrame, a: str, b: str) -> DataFrame:
 
     def run(parts):
         for pdf in parts:
-            pdf["score"] = [soft_f1(np.clip(unit(x) @ unit(y).T, 0, 1).tolist()) if len(x) and len(y) else float(len(x) == len(y)) for x, y in zip(pdf[a], pdf[b])]
+            pdf["score"] = [soft_f1(np.clip(unit(x) @ unit(y).T, 0, 1).tolist()) if len(x) and len(y) else 0.0 for x, y in zip(pdf[a], pdf[b])]
             yield pdf.drop(columns=[a, b])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in (a, b))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskloom.functions import hashing
+from taskloom.functions import hashing, parse
 from taskloom.functions import text as tx
 from taskloom.operators import qa
 from taskloom.plans import base
@@ -213,3 +213,33 @@ def t12_video_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, 'so <progress>' || printf('%.2f', 100.0 / (1.0 + exp(-(value - 245) / 50))) || '%</progress>' as t from events")
 def u2_value_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "events").select("event_id", tx.rewrite_progress(F.lit("so <progress>3</progress>"), (F.col("value") - 245) / 50).alias("t"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, case l_partkey % 4 when 0 then 'cup' when 1 then 'cup' when 2 then 'object' end as label, case when l_partkey % 4 < 3 then l_quantity + 6.0 end as total, l_partkey % 4 < 2 as parsed from lineitem")
+def f11_f12_answer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, q = F.col("l_partkey") % 4, F.col("l_quantity").cast("int").cast("string")
+    body = F.concat(F.lit("[1, 2, 3, "), q, F.lit("]"))
+    t = F.when(m == 0, F.concat(F.lit('Here:\n```json\n[{"bbox_2d": '), body, F.lit(', "label": "cup"}] // it\n```')))
+    t = t.when(m == 1, F.concat(F.lit('I see [{"name": "cup", "box": '), body, F.lit("}] there"))).when(m == 2, F.concat(F.lit("a cup at ((1, 2, 3, "), q, F.lit(")) maybe"))).otherwise("nothing")
+    rows = base.table(spark, sf_dir, "lineitem").withColumn("t", t).withColumn("a", parse.answer_boxes(F.col("t")))
+    box = F.get("a.boxes", F.lit(0))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", box["label"].alias("label"), F.aggregate(box["bbox_2d"], F.lit(0.0), lambda s, x: s + x).alias("total"), "a.parsed")
+
+
+@query("select event_id, case when event_id % 3 = 2 then 10 + event_id % 5 end as c, case when event_id % 3 = 2 then 20 end as s, event_id % 3 = 2 as valid from events")
+def f15_mapped_sub_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    sub = lambda c, s: F.concat(F.lit('Sure: {"task": "t", "subtasks": [{"name": "a", "start_frame": '), s, F.lit(', "complete_frame": '), c, F.lit("}]}"))
+    t = F.when(i % 3 == 0, "no json").when(i % 3 == 1, sub(F.lit("99"), F.lit("-1"))).otherwise(sub((i % 5).cast("string"), F.lit("10")))
+    rows = base.table(spark, sf_dir, "events").select("event_id", parse.mapped_sub_tasks(t, F.sequence(F.lit(10), F.lit(20))).alias("r"))
+    first = F.get("r.results.subtasks", F.lit(0))
+    return rows.select("event_id", first["complete_frame"].cast("long").alias("c"), first["start_frame"].cast("long").alias("s"), "r.valid")
+
+
+@query("select event_id, case event_id % 3 when 0 then '1,2' when 1 then '0' else '' end as idx from events")
+def f16_index_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("event_id") % 3
+    t = F.when(m == 0, "[[1, 2]]").when(m == 1, "Drop these: [0, 7, -1]").otherwise("none of them")
+    rows = base.table(spark, sf_dir, "events").withColumn("t", t).withColumn("n", F.lit(3))
+    rows = rows.withColumn("ids", parse.answer_indices(F.col("t"), F.col("n")))
+    return rows.select("event_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("idx"))
