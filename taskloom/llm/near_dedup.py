@@ -6,12 +6,14 @@ the one with the smallest id.  Of each folded set two small collections of sub-k
 2 * rows min-hashes cost only 2 * side * rows min-hashes (with 10 and 2: 100 tables of 4 from 40 instead of 400).
 A pair of similarity s shares no table with probability below 2 * (1 - s**rows)**side: 6e-6 at 0.85 and falling.
 
-Within a table key every set is compared with the smallest id only; sets that this leaves in different
-components are then compared with each other, by rounds: in each round every key has one leader a component
-of the others, and what is joined needs no more comparison.  The number of pairs follows the number of rows and not the
-square of a group's size, unless the members of a group are truly unlike each other; then those pairs, and only those, are
-compared.  Every link is confirmed on the full shingle sets, and components come from an iterated minimum
-over links with pointer jumping.  Tables between the steps are written to the shared folder.
+Within a table key every set is compared with one leader: the member that meets the most others over all its keys (in a
+group of edited copies that is the text they were made from).  Members that this leaves in different components are then
+compared with each other, but only if their parity bitmaps allow a link: each set is folded into PARITY bits, bit b
+telling whether an odd number of its shingles hash to b, so two bitmaps differ in at most as many bits as the sets
+differ in shingles, and a pair whose bitmaps differ in too many can't be alike.  That test stands in the join's condition, so
+pairs that fail it are never rows; no pair that could be a link is left out.  Every link is confirmed on the full
+shingle sets, and components come from an iterated minimum over links with pointer jumping.  Tables between the steps
+are written to the shared folder.
 
 Rows: without text or words the set is empty and links with nothing; a null id links with nothing, has a null
 component and is kept; rows that repeat an id are one node; ties go to the smallest id; an empty table gives no row;
@@ -31,7 +33,7 @@ from .common import drop_stored, keyed, small_batches, stored, texts_of
 SHINGLE = 5
 NUM, DEN = 85, 100
 SIDE, ROWS = 10, 2
-ROUNDS = 3
+PARITY = 512
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +43,7 @@ class WordHashes(dict):
     """64-bit hash of a word, remembered up to a limit."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -81,14 +83,20 @@ def sub_keys(s: np.ndarray, salt: np.ndarray, side: int, rows: int) -> np.ndarra
     return key
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY bits as longs: bit b is set if an odd number of the hashes have b as their top bits."""
+    odd = np.bincount((s >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (128 bits that stand for the set), left and right sub-keys (as array<bigint>)."""
+    """doc_id, n_shingles, f1, f2 (128 bits that stand for the set), keys (the left and right sub-keys), bits (parity bitmap)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         hashes, salt = WordHashes(), seeds(side, rows)
         for batch in batches:
-            n, f1, f2, keys = [], [], [], []
+            n, f1, f2, keys, bits = [], [], [], [], []
             for t in texts_of(batch.column(1)):
                 s = shingles(t, hashes)
                 n.append(len(s))
@@ -96,9 +104,10 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 f1.append(np.int64(np.uint64(digest >> 64)))
                 f2.append(np.int64(np.uint64(digest & (1 << 64) - 1)))
                 keys.append(sub_keys(s, salt, side, rows).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                bits.append(parity(s))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<bigint>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<bigint>, bits array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -114,9 +123,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def table_keys(folded: DataFrame, side: int) -> DataFrame:
-    """key, id, n: one row for each of the side**2 pairs of sub-keys."""
+    """key, id: one row for each of the side**2 pairs of sub-keys."""
     pairs = F.flatten(F.transform(F.slice("keys", 1, side), lambda a, i: F.transform(F.slice("keys", side + 1, side), lambda b, j: F.xxhash64(a, b, i, j))))
-    return folded.select(F.explode(pairs).alias("key"), "id", "n")
+    return folded.select(F.explode(pairs).alias("key"), "id")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -138,7 +147,7 @@ def components(links: DataFrame) -> DataFrame:
         new = labels.join(near, labels["id"] == near["a"]).select("id", F.least("c", "m").alias("c"))
         # pointer jumping: the label of one's label halves the way to the smallest id
         up = labels.select(F.col("id").alias("c"), F.col("c").alias("up"))
-        new = new.join(up, "c", "left").select("id", F.least("c", "up").alias("c"), )
+        new = new.join(up, "c", "left").select("id", F.least("c", "up").alias("c"))
         new = stored(new, "labels")
         moved = not new.exceptAll(labels).isEmpty()
         drop_stored(labels)
@@ -147,56 +156,59 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("c").alias("component"))
 
 
-def similar_size(num: int, den: int):
-    """A pair whose sizes are too far apart can't reach the similarity."""
-    return (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") != F.col("b"))
+def may_link(na, nb, bits_a, bits_b, num: int, den: int):
+    """Whether sets of these sizes and bitmaps can reach the similarity: they may differ in (den - num) / (den + num) of
+    both sizes, and differ in no fewer shingles than their bitmaps in bits."""
+    differ = sum((F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k)))) for k in range(1, PARITY // 64)), F.bit_count(F.get(bits_a, F.lit(0)).bitwiseXOR(F.get(bits_b, F.lit(0)))))
+    sizes = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    return sizes & (differ * (den + num) <= (na + nb) * (den - num))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, side: int = SIDE, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     signed = stored(signatures(docs, id_col=id_col, text_col=text_col, side=side, rows=rows), "signatures")
     full = signed.where("doc_id is not null and n_shingles > 0")
-    same = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    same = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     folded = stored(same, "folded")
     keys = table_keys(folded, side)
-    heads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.count("*").alias("m")).where("m > 1")
-    members = stored(keys.join(heads, "key").select("key", "id", "n", "lead", "lead_n", "m"), "members")
-    pairs = members.select(F.col("lead").alias("a"), F.col("id").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb")).where(similar_size(num, den))
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    ids = members.select("id").distinct()
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = stored(keys.join(shared, "key").select("key", "id", "m"), "members")
+    # ids that repeat (rows of one id with different texts) are one node with several sets
+    sketch = folded.select("id", "n", "bits")
+    meets = stored(members.groupBy("id").agg(F.sum("m").alias("meets")), "meets")
+    lead = members.join(meets, "id").groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("minus"))).alias("l")).select("key", (-F.col("l.minus")).alias("a"))
+    pairs = members.join(lead, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    one = lambda name, n, bits: sketch.select(F.col("id").alias(name), F.col("n").alias(n), F.col("bits").alias(bits))
+    able = may_link(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb"), num, den)
+    pairs = pairs.join(one("a", "na", "ba"), "a").join(one("b", "nb", "bb"), "b").where(able).select("a", "b").distinct()
+    pairs = stored(pairs, "pairs")
     texts = keyed(docs, id_col, text_col).select("doc_id", "text").where("doc_id is not null")
-    sets = stored(shingle_sets(texts.join(stored(ids, "ids").withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")), "sets")
-    links = stored(confirm(pairs, sets, num, den), "links")
+
+    def confirmed(found: DataFrame) -> DataFrame:
+        ids = stored(found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+        sets = stored(shingle_sets(texts.join(ids, "doc_id", "left_semi")), "sets")
+        out = stored(confirm(found, sets, num, den), "links")
+        drop_stored(sets)
+        return out
+
+    links = confirmed(pairs)
     of = components(links)
-    done = pairs
-    for turn in range(rounds + 1):
-        # keys of three or more sets that are still in more than one component
-        placed = members.where("m > 2").join(of, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed_keys = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
-        open_rows = stored(placed.join(mixed_keys, "key").select("key", "id", "n", "c", "c1", "c2"), "open")
-        if open_rows.isEmpty():
-            break
-        if turn < rounds:
-            # one leader of the component with the largest label, another one by chance, each turn another
-            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            lead = open_rows.groupBy("key").agg(F.array(F.min(F.when(F.col("c") == F.col("c2"), order)), F.min(order)).alias("leads")).select("key", F.explode("leads").alias("l")).select("key", "l.*")
-        else:
-            lead = open_rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        more = open_rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")).join(lead, "key").where("ca <> cb").where(similar_size(num, den))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stored(more.join(known, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if turn == rounds:
-                break
-            continue
-        new = stored(confirm(more, sets, num, den), "links")
-        done = done.unionByName(more)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            of = components(links)
+    # keys of three or more sets that the leaders leave in more than one component
+    placed = members.where("m > 2").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    apart = placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+    left = placed.join(apart, "key").join(sketch, "id")
+    left = stored(left, "apart")
+    if not left.isEmpty():
+        sides = [left.select("key", *(F.col(c).alias(n) for c, n in zip(("id", "c", "n", "bits"), names))) for names in (("a", "ca", "na", "ba"), ("b", "cb", "nb", "bb"))]
+        alike = able & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
+        more = sides[0].alias("x").join(sides[1].alias("y"), (F.col("x.key") == F.col("y.key")) & alike).select("a", "b").distinct()
+        more = stored(more, "pairs")
+        if not more.isEmpty():
+            new = confirmed(more)
+            if not new.isEmpty():
+                of = components(links.unionByName(new))
     fold = folded.join(of, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
-    rows_ = signed.drop("keys").join(fold, ["f1", "f2"], "left")
+    rows_ = signed.drop("keys", "bits").join(fold, ["f1", "f2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     rows_ = rows_.select("doc_id", "n_shingles", own.alias("component_id"))
     return rows_.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
