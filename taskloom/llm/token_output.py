@@ -102,44 +102,73 @@ class WordEncoder:
     lower-cases, before it merges."""
 
     def __init__(self, path: str, limit: int = MEMO):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.memo, self.cores, self.limit = Tokenizer.from_file(path), {}, {}, limit
-
-    def _library(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.memo: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        self.marks = {m.encode(): i for m, i in zip(".,;:!?", self._whole(list(".,;:!?")))}
+        # the same merges without the steps that leave lower-cased letters as they are
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.parted = self.letters.encode("0", add_special_tokens=False).ids
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of any texts."""
         out = []
         for i in range(0, len(texts), 10_000):
             out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts[i : i + 10_000], add_special_tokens=False)]
         return out
 
+    def _letters(self, cores: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased words of letters alone: many in one text, parted by a digit, whose one id no letter has."""
+        out: list[bytes] = []
+        for i in range(0, len(cores), 2_000):
+            part = cores[i : i + 2_000]
+            data = np.array(self.letters.encode_batch_fast([b" 0 ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(data == self.parted[0])
+            if len(self.parted) != 1 or len(cuts) != len(part) - 1:
+                out += self._whole([c.decode() for c in part])
+                continue
+            flat = data.tobytes()
+            starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(flat)]
+            out += [flat[x:y] for x, y in zip(starts, ends)]
+        return out
+
     def _learn(self, words: set[bytes]) -> None:
-        parts: dict[bytes, tuple[str, str]] = {}
+        cores, memo, marks = self.cores, self.memo, self.marks
+        letters: list[tuple[bytes, bytes, bytes]] = []
+        others: list[bytes] = []
         for w in words:
-            text = w.decode()
-            mark = text[-1] if text[-1] in ".,;:!?" else ""
-            core = text[:-1] if mark else text
-            if core.isalpha() and max(core) < "\u0130":  # there lower() agrees with the tokenizer's own, letter by letter
-                parts[w] = core.lower(), mark
+            mark = w[-1:]
+            core = w[:-1] if mark in marks else w
+            if core.isalpha():  # ASCII
+                letters.append((w, core.lower(), mark))
+            elif (text := core.decode()).isalpha() and max(text) < "\u0130":  # there lower() agrees with the tokenizer's own, letter by letter
+                letters.append((w, text.lower().encode(), mark))
             else:
-                parts[w] = text, ""
-        new = list({p for pair in parts.values() for p in pair if p} - self.cores.keys())
-        self.cores.update(zip(new, self._library(new)))
-        cores = self.cores
-        for w, (core, mark) in parts.items():
-            self.memo[w] = cores[core] + cores[mark] if mark else cores[core]
+                others.append(w)
+        new = list({c for _, c, _ in letters} - cores.keys())
+        cores.update(zip(new, self._letters(new)))
+        for w, core, mark in letters:
+            memo[w] = cores[core] + marks[mark] if mark in marks else cores[core]
+        memo.update(zip(others, self._whole([w.decode() for w in others])))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        memo = self.memo
-        words = [t.split() if t else [] for t in texts]
-        new = {w for ws in words for w in ws if w not in memo}
-        if len(memo) + len(new) > self.limit:
-            memo.clear()
+        if len(self.memo) > self.limit:
+            self.memo.clear()
             self.cores.clear()
-            new = set().union(*words)
-        self._learn(new)
-        get = memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        get = self.memo.get
+        # the tokenizer lower-cases everything but the names of its special tokens
+        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        ids = [list(map(get, ws)) for ws in words]
+        gaps = [[i for i, x in enumerate(row) if x is None] if None in row else () for row in ids]
+        self._learn({ws[i] for ws, row in zip(words, gaps) for i in row})
+        for ws, row, where in zip(words, ids, gaps):
+            for i in where:
+                row[i] = get(ws[i])
+        return [b"".join(row) for row in ids]
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
