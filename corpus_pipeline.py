@@ -53,9 +53,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, exact, ids."""
-    return pieces.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", memo=MEMO)
 
 
+#: Chunks that a worker of the last stage remembers: the workers live on beside those of the other stages.
+MEMO = 150_000
 STAGES = [
     ("quality_rules", keep_quality),
     ("minhash_near_dedup", drop_near_duplicates),

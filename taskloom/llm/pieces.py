@@ -11,7 +11,7 @@ it is dropped.
 
 Texts are cut where no piece can span (before a space mark that follows another character), which are boundaries where all
 paths meet; the pieces of a chunk are remembered, up to a bound, since words repeat.  Characters outside the vocabulary
-become byte pieces.
+become byte pieces.  `memo` bounds what a Python worker remembers, about 250 bytes a chunk.
 
 Rows: a null text is empty and has no ids; null ids and repeated rows are kept as they are; an empty table gives
 no row; texts of any length are read through the window; extra columns are not read.
@@ -22,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SPACE = "▁"
-MEMO = 800_000
+MEMO = 600_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -49,9 +51,12 @@ class PieceCodec:
         self.bytes = {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)}
         self.unknown = m.unk_id()
         self.longest = max(map(len, self.ids))
+        self.tails = {p[i:] for p in self.ids for i in range(len(p))}  # what stands at a piece's end: a longer look back is of no use
         #: chunks are independent if no piece goes on from another character into a space mark
         self.cuts = not any(SPACE in p.lstrip(SPACE) or p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.ids)
-        self.limit, self.memo, self.pairs = limit, {}, {}
+        self.limit, self.memo, self.pairs, self.traces = limit, {}, {}, {}
+        self.marks = {m: self.ids[m] for m in ".,;:!?" if m in self.ids}
+        self.packed_marks = {m: array("I", [i]).tobytes() for m, i in self.marks.items()}
         self.surface = [b""] * n
         for i, p in self.text.items():
             self.surface[i] = p.replace(SPACE, " ").encode()
@@ -60,10 +65,11 @@ class PieceCodec:
         if self.unknown >= 0:
             self.surface[self.unknown] = " ⁇ ".encode()
 
-    def merged(self, text: str) -> list[str]:
-        """What merging makes of a short text: best score first, then leftmost."""
-        parts = list(text)
-        score = self.score
+    def trace(self, text: str) -> tuple[list[float], list[str], list[str], bool]:
+        """How a text alone is merged (best score first, then leftmost): the score of each merge, the last and the first part
+        before each and at the end, and whether one part is left."""
+        parts, score = list(text), self.score
+        scores, lasts, firsts = [], [parts[-1]], [parts[0]]
         while True:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -71,21 +77,43 @@ class PieceCodec:
                 if s is not None and (best is None or s > best):
                     best, at = s, k
             if at < 0:
-                return parts
+                return scores, lasts, firsts, len(parts) == 1
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            scores.append(best)
+            lasts.append(parts[-1])
+            firsts.append(parts[0])
 
     def compatible(self, before: int, piece: int) -> bool:
-        """Whether two pieces stay as they are side by side; before -1: whether the piece alone does."""
+        """Whether two pieces stay as they are side by side; before -1: whether the piece alone is what merging makes of it.
+
+        Side by side each is merged as it is alone until the first merge across; that happens if at some time its score is
+        above what is next on the left and not below what is next on the right."""
         key = before << 20 | piece
         known = self.pairs.get(key)
         if known is None:
-            b = self.text[piece]
-            known = self.merged(b) == [b] if before < 0 else self.merged(self.text[before] + b) == [self.text[before], b]
+            if piece not in self.traces:
+                self.traces[piece] = self.trace(self.text[piece])
+            known = self.traces[piece][3] if before < 0 else self._apart(self.traces[before], self.traces[piece])
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
 
+    def _apart(self, left, right) -> bool:
+        (ls, lasts, _, _), (rs, _, firsts, _) = left, right
+        score, i, j = self.score, 0, 0
+        while True:
+            a, b = ls[i] if i < len(ls) else None, rs[j] if j < len(rs) else None
+            across = score.get(lasts[i] + firsts[j])
+            if across is not None and (a is None or across > a) and (b is None or across >= b):
+                return False
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a >= b:
+                i += 1
+            else:
+                j += 1
+
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
@@ -138,24 +166,63 @@ class PieceCodec:
                         via = [-1, *via[meet + 1 :]]
         yield from spelled(path(len(tail)))
 
+    def chunk(self, text: str) -> bytes:
+        """Ids of one short chunk: the lattice of stream(), which ends before its window would be cut."""
+        ids_of, tails, pairs, compatible = self.ids, self.tails, self.pairs, self.compatible
+        n = len(text)
+        back, via = [0] * (n + 1), [-1] * (n + 1)
+        for j in range(1, n + 1):
+            back[j], via[j] = j - 1, -2
+            for i in range(j - 1, -1, -1):
+                part = text[i:j]
+                if part not in tails:
+                    break
+                piece = ids_of.get(part)
+                if piece is None:
+                    continue
+                before = via[i]
+                ok = pairs.get(-1 << 20 | piece)
+                if not (compatible(-1, piece) if ok is None else ok):
+                    continue
+                if before >= 0:
+                    ok = pairs.get(before << 20 | piece)
+                    if not (compatible(before, piece) if ok is None else ok):
+                        continue
+                back[j], via[j] = i, piece
+                break
+        out: list[int] = []
+        while n:
+            out += [via[n]] if via[n] >= 0 else self.fallback(text[n - 1])[::-1]
+            n = back[n]
+        return array("I", out[::-1]).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        memo, out = self.memo, []
+        memo, marks, out = self.memo, self.marks, []
         for text in texts:
             norm = self.model.normalize(text) if text else ""
             if not self.cuts:
-                out.append(np.fromiter(self.stream([norm]), "<u4").tobytes())
+                out.append(array("I", self.stream([norm])).tobytes())
                 continue
-            held = []
-            for chunk in _CHUNK.findall(norm):
-                ids = memo.get(chunk)
-                if ids is None:
-                    ids = np.fromiter(self.stream([chunk]), "<u4").tobytes()
-                    if len(chunk) <= 64 and len(memo) <= self.limit:
-                        memo[chunk] = ids
-                held.append(ids)
+            chunks = _CHUNK.findall(norm)
+            held = list(map(memo.get, chunks))
+            if None in held:
+                if len(memo) > self.limit:  # the newer half stays
+                    memo = self.memo = dict(islice(memo.items(), len(memo) // 2, None))
+                for k, ids in enumerate(held):
+                    if ids is None:
+                        c = chunks[k]
+                        if len(c) > 64:
+                            held[k] = array("I", self.stream([c])).tobytes()
+                        elif c[-1] in marks and len(c) > 1:
+                            # a closing mark is a piece of its own if it stays apart from the last piece before it
+                            core = memo.get(c[:-1])
+                            if core is None:
+                                core = memo[c[:-1]] = self.chunk(c[:-1])
+                            last, piece = int.from_bytes(core[-4:], "little"), marks[c[-1]]
+                            held[k] = memo[c] = core + self.packed_marks[c[-1]] if last in self.text and self.compatible(last, piece) else self.chunk(c)
+                        else:
+                            held[k] = memo.get(c) or memo.setdefault(c, self.chunk(c))
             out.append(b"".join(held))
         return out
 
@@ -164,23 +231,23 @@ class PieceCodec:
         return text[1:] if text[:1] == " " else text
 
 
-_codecs: dict[str, PieceCodec] = {}
+_codecs: dict[tuple[str, int], PieceCodec] = {}
 
 
-def codec_of(model_file: str) -> PieceCodec:
+def codec_of(model_file: str, memo: int = MEMO) -> PieceCodec:
     """One codec a Python worker, so that what a task has learnt serves the next one."""
-    if model_file not in _codecs:
+    if (model_file, memo) not in _codecs:
         _codecs.clear()
-        _codecs[model_file] = PieceCodec(model_file)
-    return _codecs[model_file]
+        _codecs[model_file, memo] = PieceCodec(model_file, memo)
+    return _codecs[model_file, memo]
 
 
-def encode_documents(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, memo: int = MEMO) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, exact (decoding gives the text back) and, if wanted, ids."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        codec = codec_of(model_file)
+        codec = codec_of(model_file, memo)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = codec.encode(texts)
