@@ -90,7 +90,30 @@ def _spans_sql() -> str:
     sp as (select doc_id, kind, k, cast(s as bigint) as s, cast(s + n as bigint) as e from y where own >= least)"""
 
 
+def _licenses_sql() -> str:
+    terms = ", ".join(f"({k}, '{name}', '{t}', {c})" for k, name, t, c in licenses.template_terms())
+    return f"""
+    with tt(template, license, term, c) as (values {terms}), voc as (select distinct term from tt),
+    d as (select doc_id, coalesce(text, '') as t, '/' || coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || cast(floor(doc_id / 1000) as bigint) as dir from documents),
+    x as (select doc_id, unnest(string_split(regexp_replace(t, '([.;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) as u from d),
+    u as (select distinct doc_id, trim(u) as unit from x where regexp_matches(u, '{licenses.MARKERS}')),
+    du as (select unit, count(*) as files from u group by unit), w as (select unit, files, regexp_extract_all(lower(unit), '{licenses.TOKEN}') as ws from du),
+    te as (select unit, files, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as term from w),
+    f as (select unit, files, term, count(*) as tf from te where term in (select term from voc) group by all),
+    idf as (select voc.term, ln((1 + (select coalesce(sum(files), 0) from du)) / (1 + coalesce(df, 0))::double) + 1 as idf from voc left join (select term, sum(files) as df from f group by term) using (term)),
+    a as (select unit, term, tf * idf as w from f join idf using (term)), b as (select template, license, term, c * idf as v from tt join idf using (term)),
+    s as (select unit, license, round(sum(w * v) / (any_value(nv) * any_value(nw)), 6) as score from a join b using (term) join (select template, sqrt(sum(v * v)) as nv from b group by template) using (template)
+        join (select unit, sqrt(sum(w * w)) as nw from a group by unit) using (unit) group by unit, template, license),
+    k as (select unit, min({{'m': -score, 'l': license}}) as m from s where score >= {licenses.LEAST} group by unit),
+    h as (select doc_id, min(m) as m, sum(len(string_split_regex(unit, '\\s+'))) as own from u join k using (unit) group by doc_id),
+    o as (select doc_id, dir, dir || '/' || doc_id as path, m.l as license, -m.m as score, own >= {licenses.SHARE} * len(regexp_extract_all(t, '\\S+')) as speaks from d left join h using (doc_id)),
+    sp as (select dir as licensed_dir, min({{'m': -score, 'p': path, 'l': license}}).l as up from o where speaks group by dir),
+    n as (select dir, arg_max(licensed_dir, length(licensed_dir)) as ld, arg_max(up, length(licensed_dir)) as up from (select distinct dir from o) join sp on dir = licensed_dir or starts_with(dir, licensed_dir || '/') group by dir)
+    select doc_id, path, coalesce(license, up) as license, score, case when license is not null then 'own' when up is not null then 'inherited' else 'none' end as origin, case when license is null then ld end as licensed_dir from o left join n using (dir)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": _licenses_sql(),
     "op1_substring_dedup": f"""
     with w as (select doc_id, {_WORDS} as ws from documents),
     p as (select doc_id, unnest(range(1, len(ws) - 48)) as i, ws from w where len(ws) >= 50),
