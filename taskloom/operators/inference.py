@@ -83,3 +83,19 @@ def batched(rows: DataFrame, run, schema: str, size: int = 64) -> DataFrame:
                 yield run(pdf.iloc[i : i + size])
 
     return rows.mapInPandas(go, schema)
+
+
+def scored_boxes(frames: DataFrame, make: Callable[[], Callable[[list[tuple[str, str, list[float]]]], list[float]]], *, image: str = "image", boxes: str = "bboxes", most_chars: int = 100) -> DataFrame:
+    """Boxes with the score that an injected scorer gives to (image, label cut to most_chars, box); one call a batch of frames."""
+    held: dict[str, Callable] = {}
+
+    @F.pandas_udf("array<double>")
+    def run(images: pd.Series, labels: pd.Series, places: pd.Series) -> pd.Series:
+        scorer = held.get("scorer") or held.setdefault("scorer", make())
+        items = [(i, (label or "")[:most_chars], list(b)) for i, ls, bs in zip(images, labels, places) for label, b in zip(ls, bs)]
+        scores = iter(scorer(items) if items else [])
+        return pd.Series([[next(scores) for _ in ls] for ls in labels], dtype="object")
+
+    rows = frames.withColumns({"_labels": F.transform(boxes, lambda b: b["label"]), "_places": F.transform(boxes, lambda b: b["bbox_2d"])})
+    rows = rows.withColumn("_scores", run(image, "_labels", "_places"))
+    return rows.withColumn(boxes, F.zip_with(boxes, "_scores", lambda b, s: b.withField("score", s))).drop("_labels", "_places", "_scores")

@@ -423,3 +423,38 @@ def r5_r6_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("episode", F.array_join(F.array_sort(F.array_except(F.array_distinct("xs"), F.array(F.lit("done"), F.lit("view")))), ",").alias("left_over"))
 
 
+
+
+@query(f"with {QA} select doc_id, num_tokens from qa where num_tokens > 4000")
+def p12_token_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.qa(spark, sf_dir).where("num_tokens > 4000").select("doc_id", "num_tokens")
+
+
+@query("select o_orderkey from orders where o_orderkey % 7 - 1 = -1 or (o_orderkey % 7 - 1) / 2.0 >= 1")
+def p13_video_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A duration that could not be read (-1) is unknown and stays."""
+    seconds = (F.col("o_orderkey") % 7 - 1) / 2.0
+    o = base.table(spark, sf_dir, "orders").select("o_orderkey", F.nullif(seconds, F.lit(-0.5)).alias("duration"), F.lit(1).alias("num_tokens"))
+    return qa.context_split(o, least=0, most=10, keys=["o_orderkey"]).select("o_orderkey")
+
+
+@query(f"with {FRAMES}, n as (select *, row_number() over (partition by episode order by frame_id desc) as i from fr) select episode, frame_id from n where sub_task = 'done' or i > 5")
+def p17_unplanned_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = base.frames(spark, sf_dir)
+    i = F.row_number().over(Window.partitionBy("episode").orderBy(F.desc("frame_id")))
+    f = f.withColumn("planned_actions", F.when(i > 5, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")))
+    rows = f.withColumns({"finished": F.col("sub_task") == "done", "progress_frac": F.lit(0.5), "cutoff": F.lit(1.0)})
+    return qa.one_shot_rows(rows, times=1).select("episode", "frame_id")
+
+
+@query(f"with {FRAMES}, r as (select *, row_number() over (partition by episode order by frame_id) as i from fr where sub_task = 'done') select episode, frame_id from r where i <= 10")
+def r2_first_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("episode").orderBy("frame_id")
+    f = base.frames(spark, sf_dir).where("sub_task = 'done'")
+    return f.withColumn("i", F.row_number().over(w)).where("i <= 10").select("episode", "frame_id")
+
+
+@query(f"with {BOXES} select episode, frame_id, round(sum(length(label) / 10.0 + x1), 6) as total from bx group by all")
+def u6_scored_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inference.scored_boxes(base.boxed_frames(spark, sf_dir).withColumn("image", F.lit("x.jpg")), lambda: lambda items: [len(label) / 10.0 + b[0] for _, label, b in items])
+    return rows.select("episode", "frame_id", F.round(F.aggregate("bboxes", F.lit(0.0), lambda s, b: s + b["score"]), 6).alias("total"))

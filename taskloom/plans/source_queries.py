@@ -165,3 +165,30 @@ def u4_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("ok "), F.col("event_type")).alias("prompt"))
     rows = inference.retried(e, inference.BACKENDS["echo"], lambda t: F.when(t.startswith("ok"), True))
     return rows.select("event_id", "text", "parsed")
+
+
+@query("select r_name as name, length(r_name) + 1 as bytes from region")
+def s10_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read whole as bytes; here each holds a name and a line end."""
+    path = _folder(spark, "images")
+    base.table(spark, sf_dir, "region").select("r_name", F.col("r_name").alias("value")).repartition(5, "r_name").write.partitionBy("r_name").text(path)
+    rows = tables.images(spark, path).where(F.col("path").contains("/part-"))
+    return rows.select(F.url_decode(F.url_decode(F.regexp_extract("path", "r_name=([^/]+)/", 1))).alias("name"), F.octet_length("bytes").alias("bytes"))
+
+
+@query("select 'archived' as state, 4 as n union all select 'left', 0")
+def k5_archived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "files")
+    sinks.write_jsonl(spark.range(4).repartition(4, "id"), path)
+    moved = sinks.move_matching(spark, f"{path}/part-*.json", f"{path}-archive")
+    back = sinks.move_matching(spark, f"{path}-archive/part-*.json", path, copy=True)
+    left = len(sinks.remove_matching(spark, f"{path}/part-*.json")) - len(back)
+    return spark.createDataFrame([("archived", spark.read.json(f"{path}-archive").count() if moved else 0), ("left", left)], "state string, n int")
+
+
+@query("select 'second' as version")
+def j3_version_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "versions")
+    base.table(spark, sf_dir, "region").write.parquet(f"{path}/second")
+    found = tables.first_version(spark, [f"{path}/first", f"{path}/second", path])
+    return spark.createDataFrame([(found.rsplit("/", 1)[1],)], "version string")
