@@ -35,7 +35,8 @@ def progress_value(text: Column) -> Column:
 
 def strict_progress(text: Column) -> Column:
     """the number of a well-formed tag, held to 0..100."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), found(text, STRICT_TAG).try_cast("double")))
+    value = found(text, STRICT_TAG).try_cast("double")  # greatest and least pass over nulls
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)))
 
 
 def training_progress(turns: Column) -> Column:

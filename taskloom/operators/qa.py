@@ -263,18 +263,20 @@ def worker_shares(sizes: dict[str, int], world: int) -> list[tuple[int, str, int
     order = sorted(sizes.items(), key=lambda x: (-x[1], x[0]))
     mean = sum(sizes.values()) / world
     out, load, at = [], [0] * world, 0
-    while order and order[0][1] >= mean:
+    while order and at < world and order[0][1] >= mean:
         parts = round(order[0][1] / mean)
         if at + parts >= world and len(order) > 1:
             break
         name, n = order.pop(0)
+        parts = min(parts, world - at)  # the last one: no part may be without a worker
         for k in range(parts):
-            if at < world:
-                out.append((at, name, parts, k))
-                load[at] = round(n / parts)
-                at += 1
+            out.append((at, name, parts, k))
+            load[at] = round(n / parts)
+            at += 1
     free = [(load[w], w) for w in range(at, world)]
     heapq.heapify(free)
+    if order and not free:
+        raise ValueError("more workers than the datasets can fill")
     for name, n in order:
         have, w = heapq.heappop(free)
         out.append((w, name, 1, 0))

@@ -37,10 +37,12 @@ def f1_progress_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("event_id", F.round(tx.progress_value(F.col("t")), 6).alias("p"))
 
 
-@query(rf"with {_TEXTS} select event_id, greatest(0.0::double, least(100.0::double, try_cast(nullif(regexp_extract(t, '(?i)<progress>\s*([+-]?[0-9]+(?:\.[0-9]+)?)\s*%?\s*</progress>', 1), '') as double))) as p from (select event_id, t from tx) where regexp_matches(t, '(?i)<progress>\s*([+-]?[0-9]+(?:\.[0-9]+)?)\s*%?\s*</progress>')")
+_TAG = r"(?i)<progress>\s*([+-]?[0-9]+(?:\.[0-9]+)?)\s*%?\s*</progress>"
+
+
+@query(rf"with {_TEXTS} select event_id, case when regexp_matches(t, '{_TAG}') then greatest(0.0::double, least(100.0::double, cast(regexp_extract(t, '{_TAG}', 1) as double))) end as p from tx")
 def f2_strict_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _texts(spark, sf_dir).where(F.col("t").rlike(tx.STRICT_TAG))
-    return rows.select("event_id", tx.strict_progress(F.col("t")).alias("p"))
+    return _texts(spark, sf_dir).select("event_id", tx.strict_progress(F.col("t")).alias("p"))
 
 
 @query(r"""with g as (select conv_id, list({'r': role, 'v': case when turn % 2 = 1 then '<progress>' || turn || '.5%</progress>' else text end} order by turn) as turns from conversations group by conv_id),

@@ -215,10 +215,10 @@ def test_ransac_and_mask():
 
 def test_interpolation_fills_gaps(spark):
     box = lambda x, label="cup": {"label": label, "bbox_2d": [x, 0.1, x + 0.2, 0.3], "score": 1.0, "interpolated": False}
-    rows = [("e", 0, [box(0.1)]), ("e", 1, []), ("e", 2, [box(0.9, "cup")]), ("e", 3, []), ("e", 4, [box(0.14)]), ("e", 5, [box(0.14), box(0.6, "hat")])]
+    rows = [("e", 0, [box(0.1)]), ("e", 1, []), ("e", 2, [box(0.9, "cup")]), ("e", 3, []), ("e", 4, [box(0.12)]), ("e", 5, [box(0.12), box(0.6, "hat")])]
     df = spark.createDataFrame(rows, f"episode string, frame_id long, bboxes array<{g.BOX}>")
     got = {(r["frame_id"], r["label"], round(r["bbox_2d"][0], 3)) for r in bx.interpolated(df, ["episode"]).collect()}
-    assert got == {(1, "cup", 0.11), (3, "cup", 0.13)}  # frame 2 has a cup already
+    assert got == {(1, "cup", 0.105), (3, "cup", 0.115)}  # frame 2 has a cup already
     assert bx.interpolated(df, ["episode"], similar=lambda *a: False).count() == 0
 
 
@@ -260,7 +260,8 @@ def test_worker_shares_and_chunks():
     shares = qa.worker_shares({"big": 1000, "a": 100, "b": 90, "c": 80, "d": 30}, 4)
     assert {s[0] for s in shares} == {0, 1, 2, 3} and [s[1:] for s in shares if s[1] == "big"] == [("big", 3, 0), ("big", 3, 1), ("big", 3, 2)]
     with pytest.raises(ValueError):
-        qa.worker_shares({"a": 1}, 3)
+        qa.worker_shares({"a": 1000, "b": 1, "c": 1}, 4)
+    assert qa.worker_shares({"a": 1, "b": 1}, 3) == [(0, "a", 2, 0), (1, "a", 2, 1), (2, "b", 1, 0)]
     costs = [5.0, 1.0, 1.0, 9.0, 2.0, 30.0]
     chunks = qa.cost_chunks(costs, 10.0)
     assert sorted(i for c in chunks for i in c) == list(range(6))

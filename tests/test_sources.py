@@ -34,7 +34,7 @@ def test_metadata(spark, dataset):
 def test_frames_project_and_rename(spark, dataset):
     f = tables.frames(spark, dataset, ["frame_index", "task_index", "cam"])
     assert f.columns == ["frame_index", "task_index", "cam", "episode_name", "chunk_name"]
-    assert "extra" not in f._jdf.queryExecution().executedPlan().toString()
+    assert "extra:" not in f._jdf.queryExecution().executedPlan().toString()
     assert {(r["episode_name"], r["chunk_name"]) for r in f.collect()} == {("episode_000000", "chunk-000"), ("episode_000001", "chunk-000"), ("episode_001000", "chunk-001")}
     with pytest.raises(Exception):
         tables.frames(spark, dataset + "/meta")
