@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return add
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["a11_overall_metrics"](spark, sf_dir)
 
 
