@@ -54,7 +54,10 @@ class PieceCodec:
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}  # what stands at a piece's end: a longer look back is of no use
         #: chunks are independent if no piece goes on from another character into a space mark
         self.cuts = not any(SPACE in p.lstrip(SPACE) or p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.ids)
-        self.limit, self.memo, self.pairs, self.traces = limit, {}, {}, {}
+        self.limit, self.memo, self.pairs = limit, {}, {}
+        self.traces = {i: t for p, i in self.ids.items() if (t := self.trace(p))[3]}
+        #: the pieces that merging makes of their own text; no other one can be in a result
+        self.whole = {p: i for p, i in self.ids.items() if i in self.traces}
         self.marks = {m: self.ids[m] for m in ".,;:!?" if m in self.ids}
         self.packed_marks = {m: array("I", [i]).tobytes() for m, i in self.marks.items()}
         self.surface = [b""] * n
@@ -84,16 +87,14 @@ class PieceCodec:
             firsts.append(parts[0])
 
     def compatible(self, before: int, piece: int) -> bool:
-        """Whether two pieces stay as they are side by side; before -1: whether the piece alone is what merging makes of it.
+        """Whether two pieces stay as they are side by side.
 
         Side by side each is merged as it is alone until the first merge across; that happens if at some time its score is
         above what is next on the left and not below what is next on the right."""
         key = before << 20 | piece
         known = self.pairs.get(key)
         if known is None:
-            if piece not in self.traces:
-                self.traces[piece] = self.trace(self.text[piece])
-            known = self.traces[piece][3] if before < 0 else self._apart(self.traces[before], self.traces[piece])
+            known = self._apart(self.traces[before], self.traces[piece])
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
             self.pairs[key] = known
@@ -119,7 +120,7 @@ class PieceCodec:
 
     def stream(self, texts: Iterable[str], check_every: int = 256) -> Iterator[int]:
         """Ids of the concatenation of normalised texts; holds the lattice since the last commit only."""
-        ids_of, longest, ok = self.ids, self.longest, self.compatible
+        ids_of, longest, ok = self.whole, self.longest, self.compatible
         tail = ""  # characters since the commit
         back, via = [-1], [-1]  # of each position since the commit: where its edge starts, its piece (-2: a character without one)
         first = -1  # the piece that ends at the commit
@@ -146,7 +147,7 @@ class PieceCodec:
                     if piece is None or i and via[i] == -1:
                         continue
                     before = via[i] if i else first
-                    if ok(-1, piece) and (before < 0 or ok(before, piece)):
+                    if before < 0 or ok(before, piece):
                         back[j], via[j] = i, piece
                         break
                 else:
@@ -168,7 +169,7 @@ class PieceCodec:
 
     def chunk(self, text: str) -> bytes:
         """Ids of one short chunk: the lattice of stream(), which ends before its window would be cut."""
-        ids_of, tails, pairs, compatible = self.ids, self.tails, self.pairs, self.compatible
+        ids_of, tails, pairs, compatible = self.whole, self.tails, self.pairs, self.compatible
         n = len(text)
         back, via = [0] * (n + 1), [-1] * (n + 1)
         for j in range(1, n + 1):
@@ -181,9 +182,6 @@ class PieceCodec:
                 if piece is None:
                     continue
                 before = via[i]
-                ok = pairs.get(-1 << 20 | piece)
-                if not (compatible(-1, piece) if ok is None else ok):
-                    continue
                 if before >= 0:
                     ok = pairs.get(before << 20 | piece)
                     if not (compatible(before, piece) if ok is None else ok):
@@ -220,7 +218,7 @@ class PieceCodec:
                             if core is None:
                                 core = memo[c[:-1]] = self.chunk(c[:-1])
                             last, piece = int.from_bytes(core[-4:], "little"), marks[c[-1]]
-                            held[k] = memo[c] = core + self.packed_marks[c[-1]] if last in self.text and self.compatible(last, piece) else self.chunk(c)
+                            held[k] = memo[c] = core + self.packed_marks[c[-1]] if last in self.traces and piece in self.traces and self.compatible(last, piece) else self.chunk(c)
                         else:
                             held[k] = memo.get(c) or memo.setdefault(c, self.chunk(c))
             out.append(b"".join(held))

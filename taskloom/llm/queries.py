@@ -42,7 +42,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", keep_ids=False)
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", keep_ids=False, memo=1_500_000)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
