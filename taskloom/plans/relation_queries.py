@@ -354,13 +354,16 @@ def t17_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.collated(rows, "pack", order="doc_id").select("doc_id", "pack", "seq_start", "seq_end")
 
 
-@query()
+#: Datasets of one size go round the workers in turn.
+@query(f"with {QA}, n as (select dataset, count(*) as n from qa group by dataset) select cast((row_number() over (order by n desc, dataset) - 1) % 6 as integer) as worker, dataset, 1 as parts, 0 as part from n")
 def t14_worker_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = {r["dataset"]: r["n"] for r in base.qa(spark, sf_dir).groupBy("dataset").agg(F.count("*").alias("n")).collect()}  # a row a dataset
     return spark.createDataFrame(qa.worker_shares(sizes, 6), "worker int, dataset string, parts int, part int")
 
 
-@query()
+@query("""with recursive s as (select doc_id, doc_id // 64 as batch, n_chars::double as cost, row_number() over (partition by doc_id // 64 order by n_chars desc, doc_id) as i from documents),
+    r as (select batch, doc_id, cost, i, 0 as chunk, cost as mx, 1 as n from s where i = 1 union all select s.batch, s.doc_id, s.cost, s.i, case when r.mx * (r.n + 1) <= 20000 then r.chunk else r.chunk + 1 end, case when r.mx * (r.n + 1) <= 20000 then r.mx else s.cost end,
+        case when r.mx * (r.n + 1) <= 20000 then r.n + 1 else 1 end from r join s on s.batch = r.batch and s.i = r.i + 1) select doc_id, batch, cost, chunk from r""")
 def t15_cost_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = base.qa(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 64).alias("batch"), F.col("num_tokens").cast("double").alias("cost"))
     return qa.with_chunks(q, ["batch"], cost="cost", budget=20000.0, key="doc_id")
