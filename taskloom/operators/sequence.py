@@ -67,10 +67,14 @@ def episode_stats(frames: DataFrame, ep: list[str], *, task: str = "task", sub_t
 def planned_actions(frames: DataFrame, ep: list[str], *, task: str = "task", sub_task: str = "sub_task", by: str = "frame_id") -> DataFrame:
     """Adds the distinct sub-tasks from a frame on within its task run, by last occurrence.  A null sub-task is not listed."""
     rows = islands(frames, ep, task, by=by, name="_task_run")
-    ahead = Window.partitionBy(*ep, "_task_run").orderBy(by).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*ep, "_task_run").orderBy(by)
     kept = F.when((F.col(sub_task) != "") & ~F.col(sub_task).isin("done", "not done"), F.col(sub_task))
-    plan = F.reverse(F.array_distinct(F.reverse(F.collect_list(kept).over(ahead))))
-    return rows.withColumn("planned_actions", plan).drop("_task_run")
+    # only the first frame of each later run is listed, so a frame's list has as many entries as runs are left, not frames
+    rows = rows.withColumn("_head", F.when(~F.coalesce(F.lag(sub_task).over(w).eqNullSafe(F.col(sub_task)), F.lit(False)), kept))
+    later = F.collect_list("_head").over(w.rowsBetween(1, Window.unboundedFollowing))
+    own = F.when(kept.isNotNull(), F.array(kept)).otherwise(F.array().cast("array<string>"))
+    plan = F.reverse(F.array_distinct(F.reverse(F.concat(own, later))))
+    return rows.withColumn("planned_actions", plan).drop("_task_run", "_head")
 
 
 def remaining_sub_tasks(frames: DataFrame, ep: list[str], *, sub_task: str = "sub_task", by: str = "frame_id") -> DataFrame:
