@@ -22,6 +22,7 @@ the hash of their text and each counts; an empty table gives no row; columns oth
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -38,7 +39,7 @@ from .common import keyed, small_batches, stored, texts_of
 MAGIC = b"TLBP1\0\0\0"
 BLOCK = 1 << 16
 IMAGE_IDS = 1 << 21
-MEMO = 800_000
+MEMO = 1_200_000
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -107,8 +108,7 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.memo: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        self.marks = {m.encode(): i for m, i in zip(".,;:!?", self._whole(list(".,;:!?")))}
+        self.marks = {ord(m): i for m, i in zip(".,;:!?", self._whole(list(".,;:!?")))}
         # the same merges without the steps that leave lower-cased letters as they are
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -137,31 +137,40 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[bytes]) -> None:
-        cores, memo, marks = self.cores, self.memo, self.marks
-        letters: list[tuple[bytes, bytes, bytes]] = []
+        memo, marks = self.memo, self.marks
+        letters: list[tuple[bytes, bytes, int]] = []
         others: list[bytes] = []
         for w in words:
-            mark = w[-1:]
+            mark = w[-1]
             core = w[:-1] if mark in marks else w
-            if core.isalpha():  # ASCII
-                letters.append((w, core.lower(), mark))
+            if core.isalpha():  # ASCII, lower-cased before
+                letters.append((w, core, mark))
             elif (text := core.decode()).isalpha() and max(text) < "\u0130":  # there lower() agrees with the tokenizer's own, letter by letter
                 letters.append((w, text.lower().encode(), mark))
             else:
                 others.append(w)
-        new = list({c for _, c, _ in letters} - cores.keys())
-        cores.update(zip(new, self._letters(new)))
+        new = list({c for _, c, _ in letters} - memo.keys())
+        memo.update(zip(new, self._letters(new)))
         for w, core, mark in letters:
-            memo[w] = cores[core] + marks[mark] if mark in marks else cores[core]
+            memo[w] = memo[core] + marks[mark] if mark in marks else memo[core]
         memo.update(zip(others, self._whole([w.decode() for w in others])))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        # the lists made here hold no circles; looking for some takes a tenth of the time
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes | None]) -> list[bytes]:
         if len(self.memo) > self.limit:
             self.memo.clear()
-            self.cores.clear()
         get = self.memo.get
         # the tokenizer lower-cases everything but the names of its special tokens
-        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        words = [[w if b"<|" in w else w.lower() for w in t.split()] if b"<|" in t else t.lower().split() if t else [] for t in ((x or b"") for x in texts)]
         ids = [list(map(get, ws)) for ws in words]
         gaps = [[i for i, x in enumerate(row) if x is None] if None in row else () for row in ids]
         self._learn({ws[i] for ws, row in zip(words, gaps) for i in row})
