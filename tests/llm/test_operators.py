@@ -380,3 +380,15 @@ def test_empty_tables(spark):
     assert warc.read_archive(*warc.write_archive(pages(spark)[1].where("false"))).count() == 0
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_word_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    tok, enc = Tokenizer.from_file(path), token_output.WordEncoder(path, limit=50)
+    odd = ["Thorreou, İstanbul ΣΑΣ. ab'cd 's don't é́ ÀÉ. ǅ! 12.5 ... a.b, ﬁ 한국. 你好, 0 00 ½ abc0 ªº ß µ ŉ ſ ĳ Ŀ", "A <|endoftext|> B<|endoftext|>C <|ENDOFTEXT|> <|x", " x y\x1c z\x85w", "", " \n"]
+    odd += [t for _, t in texts() if t]
+    for _ in range(2):  # the second time from the memo, and across its bound
+        assert enc.encode([t.encode() for t in odd]) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(odd, add_special_tokens=False)]
+    assert enc.encode([None]) == [b""]
