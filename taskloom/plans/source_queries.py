@@ -36,11 +36,12 @@ def s1_task_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dataset(spark: SparkSession, sf_dir: str) -> str:
-    """Frames as data/chunk-NNN/episode_NNNNNN.parquet folders would be too many files; one folder a chunk, named for its first episode."""
+    """Frames as data/chunk-NNN/episode_NNNNNN.parquet folders would be too many files; one folder a chunk of 50 episodes, all in one job."""
     root = _folder(spark, "dataset")
-    f = base.frames(spark, sf_dir).select("episode", F.col("frame_id").alias("frame_index"), "value", "sub_task", F.floor(F.col("episode") / 50).alias("chunk"))
-    for c in range(3):
-        f.where(F.col("chunk") == c).drop("chunk").coalesce(1).write.parquet(f"{root}/data/chunk-{c:03d}/episode_{50 * c:06d}.parquet")
+    f = base.frames(spark, sf_dir).select("episode", F.col("frame_id").alias("frame_index"), "value", "sub_task")
+    chunk = F.format_string("chunk-%03d", F.floor(F.col("episode") / 50))
+    f = f.withColumn("chunk_name", F.when(F.col("episode").isNotNull(), chunk))
+    f.repartition("chunk_name").write.partitionBy("chunk_name").parquet(f"{root}/data")
     return root
 
 
@@ -49,8 +50,10 @@ def s2_s5_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taskloom.sources.tables import file_path
 
     root = _dataset(spark, sf_dir)
-    rows = spark.read.parquet(f"{root}/data/chunk-*/*.parquet")
-    return rows.select("episode", "frame_index", "value", F.regexp_extract(file_path(), r"/(chunk-\d+)/", 1).alias("chunk_name"))
+    # the layout has plain folder names, so the chunk is read off the path and not from the partitions
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data")
+    chunk = F.regexp_extract(file_path(), r"/chunk_name=(chunk-\d+)/", 1)
+    return rows.select("episode", "frame_index", "value", F.nullif(chunk, F.lit("")).alias("chunk_name"))
 
 
 @query("with n as (select user_id as episode_index, count(*) as n_frames from events group by 1) select episode_index, n_frames, cast(sum(n_frames) over (order by episode_index) - n_frames as bigint) as first_index, cast(sum(n_frames) over (order by episode_index) as bigint) as end_index from n")
