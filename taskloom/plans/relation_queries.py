@@ -95,9 +95,9 @@ def j9_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     greatest(1e-8, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))) as d
     from s a join s b on a.episode = b.episode and b.frame_id > a.frame_id and b.frame_id - a.frame_id <= 10) select episode, f1, b1, f2, b2, round(d, 6) as dist from p where d < 0.1""")
 def j11_matched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = base.boxed_frames(spark, sf_dir).where("episode % 10 = 3")
+    f = base.boxed_frames(spark, sf_dir)
     one = f.select("episode", "frame_id", F.posexplode("bboxes").alias("n", "b")).select("episode", "frame_id", F.col("n").cast("long").alias("box_no"), "b.bbox_2d")
-    return joins.boxes_matched(one, ["episode"], ahead=10).withColumn("dist", F.round("dist", 6))
+    return joins.boxes_matched(one, ["episode"]).withColumn("dist", F.round("dist", 6))
 
 
 @query("""with e as (select distinct source as dataset, doc_id // 10 as episode from documents), f as (select distinct d.source as dataset, d.doc_id // 10 as episode, 'q' as c from documents d join labels using (doc_id) union select distinct source, doc_id // 10, 't' from documents where n_chars > 10)

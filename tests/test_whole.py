@@ -28,3 +28,19 @@ EVENTS = """select i as event_id, timestamp '2024-01-01' + to_minutes(cast(i * 3
 
 def test_frames_of_all_chunks(spark, tmp_path):
     assert _held(spark, tmp_path, "s2_s5_frames", [" where episode < 150"], events=EVENTS) == 700
+
+
+#: 90 boxes of 30 orders in two episodes, up to 28 frames apart.
+BOXED = """select cast(i // 3 * 2 + 20 as bigint) as l_orderkey, cast(i % 3 + 1 as integer) as l_linenumber, cast(i * 7 % 40 as bigint) as l_partkey, cast(i % 5 as bigint) as l_suppkey,
+    cast(i * 13 % 20 as double) + 31 as l_quantity, cast(i // 3 % 3 as double) / 100 as l_discount, cast(i // 3 % 2 as double) / 50 as l_tax from range(90) t(i)"""
+
+
+def test_boxes_matched_over_whole_episodes(spark, tmp_path):
+    cuts = [" where episode % 10 = 3", " and b.frame_id - a.frame_id <= 10"]
+    assert _held(spark, tmp_path, "j11_matched_boxes", cuts, lineitem=BOXED) > 0
+    rows = registry.queries()["j11_matched_boxes"](spark, str(tmp_path))
+    assert rows.where("f2 - f1 > 10").count() > 0 and rows.select("episode").distinct().count() == 2
+
+
+def test_ranges_of_all_episodes(spark, tmp_path):
+    assert _held(spark, tmp_path, "w2_episode_range", [" where episode % 3 = 0"], events=EVENTS) == 50
