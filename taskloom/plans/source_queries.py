@@ -90,12 +90,15 @@ def _renamed(spark: SparkSession, root: str) -> DataFrame:
 
 @query("select event_id as seq, 'q ' || event_type as question, 'line one' || chr(10) || 'k' || event_id as gt_txt, '<progress>' || value || '</progress>' as pred_txt from events where event_id < 300")
 def s8_eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of 1000 events a file; the folder has the id of the first, from which the samples of a file count on."""
     path = _folder(spark, "logs")
-    e = base.table(spark, sf_dir, "events").where("event_id < 300")
+    e = base.table(spark, sf_dir, "events")
     lines = F.concat(F.lit("----------\nResources: r\nQuestion: q "), F.col("event_type"), F.lit("\nGround Truth: line one\nk"), F.col("event_id").cast("string"), F.lit("\nPrediction: <progress>"), F.col("value").cast("string"), F.lit("</progress>"))
-    e.select("event_id", lines.alias("value")).repartition(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    logs = e.select("event_id", lines.alias("value"), (F.floor(F.col("event_id") / 1000) * 1000).alias("first"))
+    logs.repartition("first").sortWithinPartitions("first", "event_id").select("first", "value").write.partitionBy("first").text(path)
     samples, _ = tables.eval_log(spark, path)
-    return samples.select("seq", "question", "gt_txt", "pred_txt")
+    first = F.regexp_extract("file", r"/first=(-?\d+)/", 1).cast("long")
+    return samples.select((first + F.col("seq")).alias("seq"), "question", "gt_txt", "pred_txt")
 
 
 @query(f"with {FRAMES} select episode, frame_id, sub_task from fr")

@@ -44,3 +44,8 @@ def test_boxes_matched_over_whole_episodes(spark, tmp_path):
 
 def test_ranges_of_all_episodes(spark, tmp_path):
     assert _held(spark, tmp_path, "w2_episode_range", [" where episode % 3 = 0"], events=EVENTS) == 50
+
+
+def test_log_of_all_events(spark, tmp_path):
+    events = EVENTS.replace("range(700)", "range(2300)")
+    assert _held(spark, tmp_path, "s8_eval_log", [" where event_id < 300"], events=events) == 2300
