@@ -11,7 +11,8 @@ words that the corpus has everywhere weigh little.  A passage is scored by docum
 bound over the whole shard rules most passages out: common terms that together can't bring any item to the threshold
 are left out, and the best impacts of the others in the window, then those of each item, must make up the difference.  Neither drops an item that
 reaches the threshold.  What is retrieved is verified on word triples: at least `overlap` of those of the item's question (the
-first half of its words) and of its answer (the second half) must stand in the passage.
+first half of its words) and of its answer (the second half) must stand in the passage.  A half of one or two words is
+verified as a whole, on the passage's words or word pairs; the empty answer of a one-word item asks for nothing.
 
 Rows: a null or empty text has no passage, an item without words no posting; a null doc_id is reported as null;
 repeated rows are one row of the result; items that repeat a text are all reported; empty tables give no rows;
@@ -54,6 +55,7 @@ class Index:
         texts = sorted((i, w) for i, w in texts if w)
         self.ids = [i for i, _ in texts]
         self.halves = [(triples(w[: (len(w) + 1) // 2]), triples(w[(len(w) + 1) // 2 :])) for _, w in texts]
+        self.sizes = [tuple(len(next(iter(h), ())) for h in halves) for halves in self.halves]
         self.longest, self.block, self.threshold = max((len(w) for _, w in texts), default=0), block, threshold
         mean = sum(len(w) for _, w in texts) / max(1, len(texts))
         self.postings: dict[bytes, tuple[list[int], list[float], list[float]]] = {}
@@ -148,12 +150,14 @@ class Index:
         out: dict[int, tuple[float, float, float, int]] = {}
         for s in starts[bounds >= need].tolist():
             passage = words[s : s + 2 * stride]
-            terms, there = set(passage), None
+            terms, there = set(passage), {}
             if not self.hopeful(terms):
                 continue
             for n, score in self.search(terms):
-                there = there or triples(passage)
-                q, a = (len(h & there) / len(h) if h else 1.0 for h in self.halves[n])
+                for size in self.sizes[n]:
+                    if size and size not in there:
+                        there[size] = triples(passage, size)
+                q, a = (len(h & there[size]) / len(h) if h else 1.0 for h, size in zip(self.halves[n], self.sizes[n]))
                 if q >= overlap and a >= overlap and (n not in out or score > out[n][0]):
                     out[n] = (score, q, a, s)
         return out
