@@ -69,19 +69,19 @@ _EN = "select doc_id, text from documents where lang = 'en'"
 
 @query(rf"""select doc_id, md5(array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(replace(lower('1. ' || text), chr(13), chr(10)), '\b[0-9]+\.\s*', '', 'g'), '[.\n;]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|')) as h from ({_EN})""")
 def f5_split_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = base.table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = base.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(F.array_join(tx.split_actions(F.concat(F.lit("1. "), F.col("text"))), "|")).alias("h"))
 
 
 @query(rf"""select doc_id, md5(array_to_string(list_transform(list_filter(list_transform(string_split('2. ' || text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: case when regexp_matches(x, '^[0-9]') then regexp_replace(x, '^[^.]*\.\s*', '') else x end), '|')) as h from ({_EN})""")
 def f6_plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = base.table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = base.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(F.array_join(tx.plan_lines(F.concat(F.lit("2. "), F.col("text"))), "|")).alias("h"))
 
 
 @query(f"with s as (select doc_id, array_to_string(string_split(text, '. ')[1:3], '. ') as t from ({_EN})) select doc_id, md5(case when ends_with(t, '.') then t else t || '.' end) as h from s")
 def f7_first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = base.table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = base.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(tx.first_sentences(F.col("text"))).alias("h"))
 
 
@@ -99,7 +99,7 @@ def f8_f9_f13_f14_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select doc_id, trim(string_split(text, '.')[2]) as reason from ({_EN})")
 def f10_finish_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", tx.finish_reason(F.col("text")).alias("reason"))
+    return base.table(spark, sf_dir, "documents").select("doc_id", tx.finish_reason(F.col("text")).alias("reason"))
 
 
 @query("select event_id, case event_id % 4 when 0 then 'progress' when 1 then 'segmentation' when 2 then 'planning' else 'segmentation' end as kind from events")
@@ -119,7 +119,7 @@ _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 
 @query(f"select doc_id, md5(array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w not in ({_STOP})), ' ')) as h from ({_EN})")
 def f19_content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.md5(F.array_join(tx.content_words(F.col("text")), " ")).alias("h"))
+    return base.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(tx.content_words(F.col("text")), " ")).alias("h"))
 
 
 @query(f"""with {FRAMES}, a as (select episode, list(distinct sub_task) as xs from fr group by episode), s as (select episode, list_sort(xs) as xs from a)

@@ -49,3 +49,21 @@ def test_ranges_of_all_episodes(spark, tmp_path):
 def test_log_of_all_events(spark, tmp_path):
     events = EVENTS.replace("range(700)", "range(2300)")
     assert _held(spark, tmp_path, "s8_eval_log", [" where event_id < 300"], events=events) == 2300
+
+
+#: Documents of four languages and one without; marks, numbers and letters outside ASCII.
+DOCUMENTS = r"""select i as doc_id, l as lang, t as text from (values
+    (1, 'en', 'The cat sat. It slept. 3. Then it ran; away. End'), (2, 'fr', 'Été à la forêt. 2. L''œuvre est là;
+ça va. Où? Fin.'), (3, 'de', 'ÄPFEL und Öl. 12. Straße; Füße.
+Dritter Satz. Ende'),
+    (4, 'es', '¿Qué? El niño. 1. Mañana;
+7. Acción. Último'), (5, null, 'Plain text. No language; 5. of its own. More'), (6, 'de', '  
+4. Zeile
+
+Über. '), (7, 'fr', 'sans point')) v(i, l, t)"""
+
+
+@pytest.mark.parametrize("name", ["f5_split_actions", "f6_plan_lines", "f7_first_sentences", "f10_finish_reason", "f19_content_words"])
+def test_texts_of_all_languages(spark, tmp_path, name):
+    documents = DOCUMENTS.replace("\\n", "' || chr(10) || '")
+    assert _held(spark, tmp_path, name, [" where lang = 'en'"], documents=documents) == 7
