@@ -34,10 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = common.stored(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_anti").select(docs.columns)
+    """Documents without a passage of a benchmark item; the verdict is on the text of a row, whatever rows share its id."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hash_col="th")
+    ids = common.stored(found.select("doc_id", "th").distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(ids["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == ids["th"])
+    return docs.join(ids, same, "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,12 +190,16 @@ def document_counts(docs: DataFrame, terms: set[bytes]) -> tuple[dict[bytes, int
     return counts, counts.pop(None, 0)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap, passage_start of each document and item found in it."""
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES, hash_col: str | None = None) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap, passage_start of each document and item found in it.
+
+    With hash_col, documents are told apart by id and xxhash64 of the text, which that column then holds."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
+    text, keys = F.col(text_col).cast("string"), ["doc_id", *([hash_col] if hash_col else []), "item_id"]
+    rows = docs.select(F.col(id_col).cast("long"), text, *([F.xxhash64(text)] if hash_col else []))
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long" + (f", `{hash_col}` long" if hash_col else "")
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start", *([hash_col] if hash_col else [])]
     found = None
     for shard in item_shards(items, item_col, item_text_col, shard_bytes):
         df, n_docs = document_counts(rows, {w for _, t in shard for w in words_of(t)})
@@ -204,15 +208,15 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         def run(batches, sent=sent):
             index = sent.value
             for batch in batches:
-                out: list[list] = [[] for _ in range(6)]
-                for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out: list[list] = [[] for _ in names]
+                for d, text, *th in zip(*(c.to_pylist() for c in batch.columns)):
                     for n, (score, q, a, s) in index.matches(words_of(text), overlap).items():
-                        for col, x in zip(out, (d, index.ids[n], round(score, 6), round(q, 6), round(a, 6), s)):
+                        for col, x in zip(out, (d, index.ids[n], round(score, 6), round(q, 6), round(a, 6), s, *th)):
                             col.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start"])
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names)
 
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap", (-F.col("passage_start")).alias("p"))).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.score", "m.question_overlap", "m.answer_overlap", (-F.col("m.p")).alias("passage_start"))
+    return found.groupBy(*keys).agg(best).select(*keys, "m.score", "m.question_overlap", "m.answer_overlap", (-F.col("m.p")).alias("passage_start"))

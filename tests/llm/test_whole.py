@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from taskloom.llm import decontaminate
 from tests.llm.fixtures import documents, prose
 from tests.llm.test_operators import rows_of
@@ -17,3 +18,13 @@ def test_short_items_are_found(spark, n):
     got = rows_of(decontaminate.contaminated(documents(spark, docs), bench), "doc_id", "item_id", "question_overlap", "answer_overlap")
     # the question alone is no copy, except of an item without an answer
     assert got == [(d, 7, 1.0, 1.0) for d in ((1, 3, 4) if n == 1 else (1, 3))]
+
+
+def test_pipeline_judges_each_row(spark, tmp_path):
+    item = prose(500, 30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    bad, clean = prose(60, 80) + " " + item, [prose(i, 90) for i in range(70, 74)]
+    docs = documents(spark, [(None, bad), (None, clean[0]), (1, bad), (1, clean[1]), (2, clean[2]), (3, bad), (None, None)])
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert rows_of(got, "doc_id", "text") == sorted([(None, clean[0]), (1, clean[1]), (2, clean[2]), (None, None)], key=repr)
