@@ -1,5 +1,11 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory (operator 3).
 
+Headers (the leading comment block, marks stripped, lines joined) and the whole texts of files named like licence files are vectors
+over all their terms; their templates are whole licence texts (license_texts), licence titles and the notices below, and inverse
+frequencies are those over the templates, a word of no template weighing most.  The best template at or above `least`
+is the file's licence.  Sentences that name a licence matter and go over line ends are joined and scored in the same way,
+but count as units do.  Units are for prose, where a header has no licence:
+
 Units are the lines and sentences of a whole text that name a licence matter (MARKERS).  Distinct units are
 counted first, so a notice that a third of all files carry is one row.  A unit's vector holds the words and word
 pairs of the templates' vocabulary that it has, weighed by term count and inverse frequency over the units of all files;
@@ -16,7 +22,11 @@ rows each get a row; an empty table gives no row; extra columns are not read.
 
 from __future__ import annotations
 
+import math
+import pkgutil
 import re
+from collections import Counter
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +58,43 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
 )
 
+#: Licences of which license_texts has the whole text, and those of which it has the notice for headers.
+TEXTS = ("Apache-2.0", "Artistic-1.0", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense")
+NOTICES = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0")
+TITLES: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+NAMED = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$"
+_MARK = r"(?:/\*+|\*+/?|#+!?|//+|--+|;+|%+|<!--|\.\. |dnl\b|REM\b)"
+_HEADER = r"^\x{FEFF}?(?:#![^\n]*\n)?(?:<\?[^\n]*\n)?\s*(/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"\"\"[\s\S]*?\"\"\"|(?:[ \t]*(?:#|//|--|;|%|\.\. |dnl\b|REM\b)[^\n]*(?:\n|$))++)"
+_GAP = r"[\s#*/;%-]+"
+
+
+@cache
+def passage_templates() -> tuple[list[tuple[int, str, str, float]], list[tuple[str, float]], float]:
+    """(template number, licence, term, share of the unit vector), (term, inverse frequency), that of a term of no template."""
+    read = lambda name: pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+    whole = [(n, read(n)) for n in TEXTS] + [(n, read(f"{n}.notice")) for n in NOTICES]
+    counts: dict[int, tuple[str, dict[str, int]]] = {}
+    for k, name, t, c in template_terms((*TEMPLATES, *TITLES, *whole)):
+        counts.setdefault(k, (name, {}))[1][t] = c
+    df = Counter(t for _, c in counts.values() for t in c)
+    none = math.log(1 + len(counts)) + 1
+    idf = {t: none - math.log(1 + n) for t, n in df.items()}
+    rows = []
+    for k, (name, c) in counts.items():
+        v = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        rows += [(k, name, t, x / norm) for t, x in v.items()]
+    return rows, list(idf.items()), none
+
 
 def terms_of(unit: Column) -> Column:
     """Words and neighbouring pairs of words."""
@@ -95,6 +142,36 @@ def judged_units(units: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
     return best.select("unit", "m.license", (-F.col("m.minus")).alias("score"))
 
 
+def passages_of(path: Column, text: Column) -> Column:
+    """Array of (part, passage): part is false for headers and whole licence files, true for sentences over line ends."""
+    text = F.coalesce(text, F.lit(""))
+    bare = lambda t: F.regexp_replace(t, rf"(?m)^[ \t]*{_MARK}?[ \t]*", F.lit(""))
+    joined = lambda t: F.trim(F.regexp_replace(t, r"\s+", F.lit(" ")))
+    sentences = F.filter(F.split(bare(text), r"(?<=[.;])\s+|\n\s*\n"), lambda x: F.trim(x).contains("\n"))
+    sentences = F.filter(F.transform(sentences, joined), lambda x: x.rlike(MARKERS))
+    named = lambda part, xs: F.transform(xs, lambda x: F.struct(F.lit(part).alias("part"), x.alias("passage")))
+    whole = F.array(joined(bare(F.regexp_extract(text, _HEADER, 1))), F.when(path.rlike(NAMED), joined(text)))
+    whole = F.filter(whole, lambda x: F.coalesce(x, F.lit("")) != "")
+    wrapped = F.when(text.rlike(MARKERS.replace(" ", _GAP)), sentences).otherwise(F.array().cast("array<string>"))
+    return F.concat(named(False, whole), named(True, wrapped))
+
+
+def judged_passages(passages: DataFrame, least: float = LEAST) -> DataFrame:
+    """passage, license, score of each distinct passage that reaches `least`."""
+    spark = passages.sparkSession
+    rows, known, none = passage_templates()
+    theirs = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, v double"))
+    idf = F.broadcast(spark.createDataFrame(known, "term string, idf double"))
+    distinct = stored(passages.select("passage").distinct().withColumn("id", F.md5("passage")), "license-passages")
+    tf = distinct.select("id", F.explode(terms_of(F.col("passage"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    ours = stored(tf.join(idf, "term", "left").select("id", "term", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(none))).alias("w")), "license-passage-terms")
+    norm = ours.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = ours.join(theirs, "term").groupBy("id", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(norm, "id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("m"))
+    return distinct.join(best, "id").select("passage", "m.license", (-F.col("m.minus")).alias("score"))
+
+
 def directory(path: Column) -> Column:
     """The directory of an absolute path; that of a file at the top is the empty string."""
     return F.regexp_replace(path, r"/[^/]*$", F.lit(""))
@@ -116,8 +193,14 @@ def scan(files: DataFrame, templates=TEMPLATES, *, path_col: str = "path", text_
     carry = rows.where(F.size("units") > 0).select("key", "path", n_words.alias("n_words"), F.explode("units").alias("unit"))
     units = stored(carry.dropDuplicates(["key", "unit"]), "license-lines")
     known = stored(judged_units(units, templates, least), "license-scores")
-    hits = units.join(known, "unit").groupBy("key", "path", "n_words").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("m"), F.sum(F.size(F.split("unit", r"\s+"))).alias("own_words"))
-    own = stored(hits.select("key", "path", "m.license", (-F.col("m.minus")).alias("score"), (F.col("path").rlike(r"(?i)(^|/)(licen[cs]e|copying)[^/]*$") | (F.col("own_words") >= share * F.col("n_words"))).alias("speaks")), "licenses")
+    passed = rows.select("key", "path", n_words.alias("n_words"), F.explode(passages_of(F.col("path"), F.col("text"))).alias("p")).select("key", "path", "n_words", "p.*")
+    passed = stored(passed.dropDuplicates(["key", "part", "passage"]), "license-parts")
+    read = passed.join(judged_passages(passed, least), "passage")
+    n_own = lambda c: F.size(F.split(c, r"\s+"))
+    hits = units.join(known, "unit").select("key", "path", "n_words", F.lit(True).alias("part"), "score", "license", n_own("unit").alias("n_unit"), F.lit(0).alias("n_part"), F.lit(0).alias("n_whole"))
+    hits = hits.unionByName(read.select("key", "path", "n_words", "part", "score", "license", F.lit(0).alias("n_unit"), F.when(F.col("part"), n_own("passage")).otherwise(0).alias("n_part"), F.when(F.col("part"), 0).otherwise(n_own("passage")).alias("n_whole")))
+    hits = hits.groupBy("key", "path", "n_words").agg(F.min(F.struct("part", (-F.col("score")).alias("minus"), "license")).alias("m"), F.greatest(F.sum("n_unit"), F.sum("n_part"), F.max("n_whole").cast("long")).alias("own_words"))
+    own = stored(hits.select("key", "path", "m.license", (-F.col("m.minus")).alias("score"), (F.col("path").rlike(NAMED) | (F.col("own_words") >= share * F.col("n_words"))).alias("speaks")), "licenses")
     of_dir = own.where("speaks and path is not null").groupBy(directory(F.col("path")).alias("licensed_dir")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "path", "license")).alias("m")).select("licensed_dir", F.col("m.license").alias("dir_license"))
     plain = rows.select(*names, "path", "key", directory(F.col("path")).alias("dir"))
     dirs = plain.where("dir is not null").select("dir").distinct()

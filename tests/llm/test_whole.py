@@ -1,9 +1,11 @@
 """Cases that a cut in an operator would leave out."""
 
+import pkgutil
+
 import pytest
 
 import corpus_pipeline
-from taskloom.llm import decontaminate
+from taskloom.llm import decontaminate, licenses
 from tests.llm.fixtures import documents, prose
 from tests.llm.test_operators import rows_of
 
@@ -28,3 +30,17 @@ def test_pipeline_judges_each_row(spark, tmp_path):
     got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     assert rows_of(got, "doc_id", "text") == sorted([(None, clean[0]), (1, clean[1]), (2, clean[2]), (None, None)], key=repr)
+
+
+def test_licenses_of_headers_and_whole_texts(spark):
+    text = lambda name: pkgutil.get_data("taskloom.llm", f"license_texts/{name}.txt").decode()
+    apache = "Copyright 2024 Someone\n" + text("Apache-2.0.notice")
+    files = {
+        "/n": ("This work is licensed under the GNU General Public\nLicense, version 3.", "GPL-3.0"),
+        "/t/COPYING": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n", "GPL-3.0"),
+        "/a.py": ("#!/usr/bin/python\n" + "".join(f"# {x}\n" for x in apache.split("\n")) + "import os\n" * 50, "Apache-2.0"),
+        "/b.c": ("/*\n" + "".join(f" * {x}\n" for x in text("GPL-3.0.notice").split("\n")) + " */\nint x;\n" * 50, "GPL-3.0"),
+        "/c.js": ("// Licensed under the\n// MIT License\nlet x\n", "MIT"), "/plain.c": ("// the width of a\n// line\nint x;\n", None),
+    } | {f"/l/{n}/LICENSE": ("Copyright (c) 2024 Someone\n\n" + text(n), n) for n in licenses.TEXTS}
+    got = licenses.scan(spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string"))
+    assert {r["path"]: r["license"] if r["origin"] == "own" else None for r in got.collect()} == {p: n for p, (_, n) in files.items()}
