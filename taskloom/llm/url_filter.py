@@ -7,8 +7,8 @@ by one vectorised binary search a batch, and each hit is confirmed against the s
 collision of keys never decides.
 
 Two arrays share the code: allow/block rules, of which the longest that fits wins, and a block list of hosts for
-urls without a rule.  The list is broadcast, so its size is checked against `most_bytes`; a larger
-one raises, and `judge_joined` then does the same by a join.
+urls without a rule.  It is a sequence or a table (`read_hosts` reads one from a file) and is broadcast, so its size is checked
+against `most_bytes`: a larger sequence raises, of a larger table `judge_joined` makes the same rows by a join.
 
 Rows: a null url or one without `://` has empty host and path, no rule, and verdict allow; repeated
 rows each get a row; an empty table gives no row; other columns are not read.
@@ -22,7 +22,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -90,10 +90,26 @@ def suffixes(host: str) -> list[str]:
     return [".".join(labels[i:]) for i in range(len(labels))]
 
 
+def read_hosts(spark: SparkSession, path: str) -> DataFrame:
+    """host: a Parquet table's column of that name, or a text file's lines without empty ones and what follows a #; A-Z lower-cased."""
+    if path.rstrip("/").endswith(".parquet"):
+        host = spark.read.parquet(path).select(F.col("host").cast("string"))
+    else:
+        host = spark.read.text(path).select(F.regexp_replace("value", r"#.*", F.lit("")).alias("host"))
+    lower = F.translate(F.trim("host"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host.select(lower.alias("host")).where("host <> ''").distinct()
+
+
 def judge(pages: DataFrame, rules=RULES, block_hosts=BLOCK_HOSTS, *, id_col: str = "page_id", url_col: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict, listed (the block-list host that decided)."""
     spark = pages.sparkSession
     small_batches(spark)
+    if isinstance(block_hosts, DataFrame):
+        table = block_hosts.select(F.col("host").cast("string").alias("host")).where("host is not null").distinct()
+        size = table.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0
+        if size + DigestArray([(r, i) for i, (_, r) in enumerate(rules)]).nbytes > most_bytes:
+            return judge_joined(pages, table, rules=rules, id_col=id_col, url_col=url_col, most_bytes=most_bytes)
+        block_hosts = tuple(r["host"] for r in table.collect())
     rule_array = DigestArray([(r, i) for i, (_, r) in enumerate(rules)])
     host_array = DigestArray([(h, i) for i, h in enumerate(block_hosts)])
     if rule_array.nbytes + host_array.nbytes > most_bytes:
@@ -135,11 +151,17 @@ def judge(pages: DataFrame, rules=RULES, block_hosts=BLOCK_HOSTS, *, id_col: str
     return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, listed string")
 
 
-def judge_joined(pages: DataFrame, block_hosts: DataFrame, *, host_col: str = "host") -> DataFrame:
-    """For lists beyond the bound: pages that have a host column, against a table of hosts, by an equi-join on
-    the host's suffixes (distinct hosts first, so a host that a third of the pages share is one row)."""
-    hosts = pages.select(host_col).distinct()
+def judge_joined(pages: DataFrame, block_hosts: DataFrame, *, host_col: str = "host", rules=None, id_col: str = "page_id", url_col: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """For lists beyond the bound, against a table of hosts, by an equi-join on the host's suffixes (distinct hosts first, so
+    a host that a third of the pages share is one row).  With rules, pages have urls and the rows are those of `judge`; without,
+    pages have a host column and get `listed`."""
+    if rules is not None:
+        ruled = judge(pages, rules, (), id_col=id_col, url_col=url_col, most_bytes=most_bytes).drop("listed")
+        rows = judge_joined(ruled, block_hosts.select(F.col(host_col).alias("host")))
+        listed = F.when(F.col("rule").isNull(), F.col("listed"))
+        return rows.select("page_id", "host", "path", "rule", F.when(listed.isNotNull(), "block").otherwise(F.col("verdict")).alias("verdict"), listed.alias("listed"))
+    hosts = pages.select(host_col).where(F.col(host_col) != "").distinct()
     labels = F.split(host_col, r"\.")
     tails = hosts.select(host_col, F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("listed"))
-    found = tails.join(block_hosts.select(F.col(host_col).alias("listed")).distinct(), "listed").groupBy(host_col).agg(F.max_by("listed", F.length("listed")).alias("listed"))
+    found = tails.join(block_hosts.select(F.col(host_col).alias("listed")).distinct(), "listed").groupBy(host_col).agg(F.min_by("listed", F.length("listed")).alias("listed"))
     return pages.join(found, host_col, "left")

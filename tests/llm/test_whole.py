@@ -5,9 +5,9 @@ import pkgutil
 import pytest
 
 import corpus_pipeline
-from taskloom.llm import decontaminate, licenses
+from taskloom.llm import decontaminate, licenses, url_filter
 from tests.llm.fixtures import documents, prose
-from tests.llm.test_operators import rows_of
+from tests.llm.test_operators import URLS, rows_of
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
@@ -44,3 +44,17 @@ def test_licenses_of_headers_and_whole_texts(spark):
     } | {f"/l/{n}/LICENSE": ("Copyright (c) 2024 Someone\n\n" + text(n), n) for n in licenses.TEXTS}
     got = licenses.scan(spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string"))
     assert {r["path"]: r["license"] if r["origin"] == "own" else None for r in got.collect()} == {p: n for p, (_, n) in files.items()}
+
+
+def test_host_list_of_any_size(spark, tmp_path):
+    (tmp_path / "hosts.txt").write_text("# bad hosts\nExample.com\nwww.spam-farm.example.org # a part\n\nspam-farm.example.org\nnet\n")
+    hosts = url_filter.read_hosts(spark, str(tmp_path / "hosts.txt"))
+    pages = spark.createDataFrame([*enumerate(URLS), (None, "http://www.example.com/")], "page_id long, url string")
+    cols = ("page_id", "host", "path", "rule", "verdict", "listed")
+    small = rows_of(url_filter.judge(pages, block_hosts=hosts), *cols)
+    large = url_filter.judge(pages, block_hosts=hosts, most_bytes=url_filter.DigestArray([(r, 0) for _, r in url_filter.RULES]).nbytes)
+    assert tuple(large.columns) == cols and rows_of(large, *cols) == small
+    assert {r[5] for r in small} == {None, "example.com", "spam-farm.example.org"}
+    hosts.write.parquet(str(tmp_path / "hosts.parquet"))
+    again = url_filter.judge(pages, block_hosts=url_filter.read_hosts(spark, str(tmp_path / "hosts.parquet")))
+    assert rows_of(again, *cols) == small
