@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.sources.shared import drop_stored, shared_dir, stored  # noqa: F401
+from taskloom.sources.tables import estimated_bytes
 
 #: A word is a run of anything but ASCII white space; the same set that bytes.split() cuts at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +19,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+#: Bytes of input for a task where the number of tasks is chosen here.
+TASK_BYTES = 64 << 20
+
+
+def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks for a shuffle of df: the session's number, more if the estimated size asks for more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-estimated_bytes(df) // task_bytes), 1 << 20))
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, near_dedup, pieces, quality, secrets, substring_dedup, token_output, url_filter, warc
 
-#: Where the public tokenizer files are; a parameter of the operators.
-TOKENIZERS = os.environ.get("TASKLOOM_TOKENIZERS", "/opt/tokenizers")
+#: The public tokenizer files; a parameter of the operators.  Executors have the package that holds them, too.
+PIECES, WORDS = map(public_tokenizers.path, ("piece_bpe_32k.model", "word_bpe_49k.json"))
 END_ID = 1
 
 
@@ -42,7 +41,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", keep_ids=False, memo=1_500_000)
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), PIECES, keep_ids=False, memo=1_500_000)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +53,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = token_output.write_ids(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=END_ID)
+    written = token_output.write_ids(table(spark, sf_dir, "documents"), WORDS, end_id=END_ID)
     return token_output.read_ids(written)
 
 

@@ -34,12 +34,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, small_batches, stored, texts_of
+from taskloom.sources.tables import bounded
+
+from .common import keyed, small_batches, stored, tasks_for, texts_of
 
 MAGIC = b"TLBP1\0\0\0"
 BLOCK = 1 << 16
-IMAGE_IDS = 1 << 21
-MEMO = 1_200_000
+IMAGE_IDS = 1 << 20
+#: Bytes that a Python worker's memo of words may take, and about what an entry takes beside its two strings.
+MEMO_BYTES, ENTRY_BYTES = 176 << 20, 170
+#: Bytes of text whose words are looked up at a time.
+STEP_BYTES = 1 << 20
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -97,17 +102,21 @@ def decode_image(image: bytes) -> np.ndarray:
 
 class WordEncoder:
     """Ids of a text as uint32 bytes.  The tokenizer drops white space before it looks at anything, so a text's
-    ids are its words' ids in turn; each word goes through the library once and is then remembered, up to `limit` words.
+    ids are its words' ids in turn; each word goes through the library once and is then remembered.  The memo takes `limit`
+    bytes at most, in two generations: when the young one has half of them it becomes the old one, and words that are met
+    again move from the old one to the new young one, so frequent words stay.
 
     A word that is letters and one closing mark is looked up by its letters: the tokenizer parts letters from marks, and
     lower-cases, before it merges."""
 
-    def __init__(self, path: str, limit: int = MEMO):
+    def __init__(self, path: str, limit: int = MEMO_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0  # about the bytes of the young generation's words and ids
         self.marks = {ord(m): i for m, i in zip(".,;:!?", self._whole(list(".,;:!?")))}
         # the same merges without the steps that leave lower-cased letters as they are
         self.letters = Tokenizer(self.tokenizer.model)
@@ -137,10 +146,15 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[bytes]) -> None:
-        memo, marks = self.memo, self.marks
+        memo, old, marks = self.memo, self.old, self.marks
+        new = list(words)
+        if old:
+            known = list(map(old.get, new))
+            memo.update((w, ids) for w, ids in zip(new, known) if ids is not None)
+            new = [w for w, ids in zip(new, known) if ids is None]
         letters: list[tuple[bytes, bytes, int]] = []
         others: list[bytes] = []
-        for w in words:
+        for w in new:
             mark = w[-1]
             core = w[:-1] if mark in marks else w
             if core.isalpha():  # ASCII, lower-cased before
@@ -149,25 +163,33 @@ class WordEncoder:
                 letters.append((w, text.lower().encode(), mark))
             else:
                 others.append(w)
-        new = list({c for _, c, _ in letters} - memo.keys())
-        memo.update(zip(new, self._letters(new)))
+        cores = list({c for _, c, _ in letters} - memo.keys())
+        of_cores, of_others = self._letters(cores), self._whole([w.decode() for w in others])
+        memo.update(zip(cores, of_cores))
+        memo.update(zip(others, of_others))
         for w, core, mark in letters:
             memo[w] = memo[core] + marks[mark] if mark in marks else memo[core]
-        memo.update(zip(others, self._whole([w.decode() for w in others])))
+        self.held += sum(map(len, words)) + sum(map(len, cores)) + 2 * sum(map(len, of_cores)) + sum(map(len, of_others))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         # the lists made here hold no circles; looking for some takes a tenth of the time
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            out, first, size = [], 0, 0
+            for i, t in enumerate(texts, 1):
+                size += len(t or b"")
+                if size >= STEP_BYTES or i == len(texts):
+                    out += self._encode(texts[first:i])
+                    first, size = i, 0
+            return out
         finally:
             if collecting:
                 gc.enable()
 
     def _encode(self, texts: list[bytes | None]) -> list[bytes]:
-        if len(self.memo) > self.limit:
-            self.memo.clear()
+        if 2 * (self.held + ENTRY_BYTES * len(self.memo)) > self.limit:
+            self.old, self.memo, self.held = self.memo, {}, 0
         get = self.memo.get
         # the tokenizer lower-cases everything but the names of its special tokens
         words = [[w if b"<|" in w else w.lower() for w in t.split()] if b"<|" in t else t.lower().split() if t else [] for t in ((x or b"") for x in texts)]
@@ -183,7 +205,7 @@ class WordEncoder:
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder_of(path: str, limit: int = MEMO) -> WordEncoder:
+def encoder_of(path: str, limit: int = MEMO_BYTES) -> WordEncoder:
     """One encoder a Python worker, so that what a task has learnt serves the next one."""
     if (path, limit) not in _encoders:
         _encoders.clear()
@@ -196,31 +218,34 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int, id_col: str
     part, seq, n_ids, doc_ids, doc_lengths, image."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or tasks_for(docs)
     rows = keyed(docs, id_col, text_col).repartitionByRange(n, "doc_id", "th").sortWithinPartitions("doc_id", "th")
     rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
     schema = "part int, seq int, n_ids long, doc_ids array<long>, doc_lengths array<long>, image binary"
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encoder, seq, held, ids, lengths, total, part = encoder_of(tokenizer_path), 0, [], [], [], 0, 0
+        encoder, seq, held, ids, lengths, part = encoder_of(tokenizer_path), 0, bytearray(), array("q"), array("q"), 0
+        named = array("b")  # 0 where the id is null
 
         def image():
-            flat = np.frombuffer(b"".join(held), "<u4")
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([len(flat)], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "doc_lengths": pa.array([lengths], pa.list_(pa.int64())), "image": pa.array([encode_image(flat, block)], pa.binary())})
+            flat = np.frombuffer(held, "<u4")
+            of = pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(named, np.int8) == 0)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([len(flat)], pa.int64()), "doc_ids": pa.ListArray.from_arrays([0, len(ids)], of), "doc_lengths": pa.ListArray.from_arrays([0, len(ids)], pa.array(np.frombuffer(lengths, "<i8"))), "image": pa.array([encode_image(flat, block)], pa.binary())})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = batch.column(2)[0].as_py()
             for d, e in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1)))):
-                held += [e, end]
-                ids.append(d)
+                held += e
+                held += end
+                ids.append(d or 0)
+                named.append(d is not None)
                 lengths.append(len(e) // 4 + 1)
-                total += lengths[-1]
-                if total >= image_ids:
+                if len(held) >= 4 * image_ids:
                     yield image()
-                    seq, held, ids, lengths, total = seq + 1, [], [], [], 0
+                    seq, held, ids, lengths, named = seq + 1, bytearray(), array("q"), array("q"), array("b")
         if ids:
             yield image()
 
@@ -231,7 +256,8 @@ def read_ids(container: DataFrame, detail=None, fields: str = "ids_crc32 long")
     """Per document from the images: doc_id, start, n_tokens and what `detail` makes of its ids as
     little-endian uint32 bytes (default: their unsigned crc32)."""
     detail = detail or zlib.crc32
-    # one row a part: the running sum is over as many rows as there were range partitions
+    # one row a part: the running sum is over as many rows as there were range partitions.  Stored, so that its size is known
+    # and the images are not shuffled to meet a number: the offsets go to them, unless they are too many to be broadcast
     parts = container.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inner = Window.partitionBy("part").orderBy("seq")
@@ -246,7 +272,7 @@ def read_ids(container: DataFrame, detail=None, fields: str = "ids_crc32 long")
                 starts = ends - lengths
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(first + starts, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), name: pa.array([detail(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())], {"long": pa.int64(), "binary": pa.binary()}[kind])})
 
-    rows = container.join(offsets, ["part", "seq"]).select("first", "doc_ids", "doc_lengths", "image")
+    rows = container.join(bounded(stored(offsets, "token-offsets")), ["part", "seq"]).select("first", "doc_ids", "doc_lengths", "image")
     return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {fields}")
 
 

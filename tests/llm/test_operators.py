@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from taskloom.llm import decontaminate, licenses, near_dedup, pieces, quality, secrets, substring_dedup, token_output, url_filter, warc
-from taskloom.llm.queries import TOKENIZERS
+from taskloom.llm.queries import PIECES, WORDS
 from tests.llm.fixtures import documents, prose, texts
 
 
@@ -156,8 +156,8 @@ def test_near_dedup_random_edits(spark):
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
-    table = token_output.write_ids(documents(spark), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1, block=64, image_ids=500)
+    tok = Tokenizer.from_file(WORDS)
+    table = token_output.write_ids(documents(spark), WORDS, end_id=1, block=64, image_ids=500)
     assert table.count() > 3
     got = [tuple(r) for r in token_output.read_ids(table).orderBy("start").collect()]
     want, start = [], 0
@@ -185,7 +185,7 @@ def test_bit_planes_round_trip(tmp_path, spark):
                 assert (token_output.decode_chunk(image, chunks[-1]) == ids[(len(chunks) - 1) * 64 :]).all()
     with pytest.raises(ValueError):
         token_output.chunk_index(b"something else..........")
-    table = token_output.write_ids(documents(spark), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1, image_ids=500)
+    table = token_output.write_ids(documents(spark), WORDS, end_id=1, image_ids=500)
     files = token_output.export_images(table, str(tmp_path)).collect()
     assert all((tmp_path / f["path"].rsplit("/", 1)[1]).stat().st_size == f["bytes"] for f in files)
 
@@ -316,10 +316,10 @@ def test_wand_equals_exhaustive_scores():
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     more = ["   lead  and   gaps ", "a" * 700, "▁ ▁▁x", "<s> </s> <unk>", "=-=-=-" * 50, "नमस्ते 😀\u0000\u200b", "\ttab\nline"]
     rows = texts() + [(1000 + i, t) for i, t in enumerate(more)]
-    got = rows_of(pieces.encode_documents(documents(spark, rows), f"{TOKENIZERS}/piece_bpe_32k.model"), "doc_id", "n_ids", "ids_crc32", "ids", "decoded_sha256", "exact")
+    got = rows_of(pieces.encode_documents(documents(spark, rows), PIECES), "doc_id", "n_ids", "ids_crc32", "ids", "decoded_sha256", "exact")
     want = []
     for d, t in rows:
         ids = sp.encode(t or "")
@@ -330,7 +330,7 @@ def test_pieces_equal_the_library(spark):
 
 
 def test_stream_commits_early_and_agrees():
-    codec = pieces.PieceCodec(f"{TOKENIZERS}/piece_bpe_32k.model")
+    codec = pieces.PieceCodec(PIECES)
     text = codec.model.normalize(prose(9, 400) + "x" * 300 + " 漢字 " * 20)
     want = codec.model.encode(prose(9, 400) + "x" * 300 + " 漢字 " * 20)
     assert list(codec.stream([text], check_every=32)) == want
@@ -348,7 +348,7 @@ def test_stream_commits_early_and_agrees():
 
 
 def test_decode_documents(spark):
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = PIECES
     enc = pieces.encode_documents(documents(spark, [(1, "Ab  c\n"), (2, None)]), model)
     assert rows_of(pieces.decode_documents(enc, model), "doc_id", "text") == [(1, "Ab  c\n"), (2, "")]
 
@@ -370,13 +370,13 @@ def test_license_scan(spark):
 
 def test_empty_tables(spark):
     docs = documents(spark, [])
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = PIECES
     assert substring_dedup.remove_repeats(docs).count() == 0
     assert secrets.scan(docs.drop("spans")).count() == 0
     assert near_dedup.near_duplicates(docs).count() == 0
     assert quality.ledger(docs).count() == 0 and quality.ablation(quality.ledger(docs)).count() == 0
     assert pieces.encode_documents(docs, model).count() == 0
-    assert token_output.read_ids(token_output.write_ids(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)).count() == 0
+    assert token_output.read_ids(token_output.write_ids(docs, WORDS, end_id=1)).count() == 0
     assert warc.read_archive(*warc.write_archive(pages(spark)[1].where("false"))).count() == 0
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
@@ -385,7 +385,7 @@ def test_empty_tables(spark):
 def test_word_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = WORDS
     tok, enc = Tokenizer.from_file(path), token_output.WordEncoder(path, limit=50)
     odd = ["Thorreou, İstanbul ΣΑΣ. ab'cd 's don't é́ ÀÉ. ǅ! 12.5 ... a.b, ﬁ 한국. 你好, 0 00 ½ abc0 ªº ß µ ŉ ſ ĳ Ŀ", "A <|endoftext|> B<|endoftext|>C <|ENDOFTEXT|> <|x", " x y\x1c z\x85w", "", " \n"]
     odd += [t for _, t in texts() if t]

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from taskloom.llm import decontaminate, quality, secrets
-from taskloom.llm.queries import ORACLE_SQL, QUERIES, TOKENIZERS
+from taskloom.llm.queries import ORACLE_SQL, PIECES, QUERIES
 from tests.llm.fixtures import documents, prose, texts
 from tests.llm.test_operators import brute_near, brute_quality, brute_spans
 from tests.oracle import connect, same
@@ -28,7 +28,7 @@ def test_query(spark, name):
 def brute_pipeline(rows, items):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     kept = []
     for d, t in rows:
         n, chars, symbols, dup, rep = brute_quality(t)
