@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm import common, decontaminate, near_dedup, pieces, quality, secrets
-from taskloom.llm.queries import TOKENIZERS
+from taskloom.llm.queries import PIECES
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, exact, ids."""
-    return pieces.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", memo=MEMO)
+    return pieces.encode_documents(docs, PIECES, memo=MEMO)
 
 
 #: Chunks that a worker of the last stage remembers: the workers live on beside those of the other stages.
