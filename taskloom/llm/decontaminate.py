@@ -2,11 +2,15 @@
 
 The test items are the indexed side.  They are few beside the corpus; their index is built in shards of at most
 `shard_bytes` of item text, and one shard at a time is collected and broadcast, so its size is bounded whatever the size
-of the benchmark.  Every passage of every document (windows of twice the longest item, half overlapping, over the
-whole text) is a query.  An item's impacts are divided by the score the item has against itself, so a score
-is the share of the item that the passage carries and one threshold serves short and long items.
+of the benchmark (an index takes about 30 times its items' text in a Python worker).  Every passage of every document is a query.
+Passages are windows over the whole text, half overlapping; an item meets those of its own length class (the next power of two,
+LEAST_WINDOW at least, twice that wide), so any copy of it lies within one, and neither other items nor the shards change
+what is found.  An item's impacts are divided by the score the item has against itself, so a score
+is the share of the item that the passage carries and one threshold serves short and long items.  Scores are rounded to six
+digits before they are compared, so that the order of a sum decides nothing.
 
-Inverse frequencies are those of the training documents, counted in a pass over all of them for the terms of the shard's items; so
+Lengths are weighed against the mean of all items.  Inverse frequencies are those of the training documents, counted in one pass over
+all of them for the terms of all items (more passes if these terms have more than `vocabulary_bytes`); so
 words that the corpus has everywhere weigh little.  A passage is scored by document-at-a-time WAND with the maximum of each block of postings; before that, the same kind of
 bound over the whole shard rules most passages out: common terms that together can't bring any item to the threshold
 are left out, and the best impacts of the others in the window, then those of each item, must make up the difference.  Neither drops an item that
@@ -21,6 +25,7 @@ only id and text columns are read.
 
 from __future__ import annotations
 
+import functools
 import math
 from bisect import bisect_left
 from collections import Counter
@@ -30,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored
 
 THRESHOLD, OVERLAP, K1, B, BLOCK = 0.5, 0.5, 1.2, 0.75, 32
-LEAST_WINDOW, SHARD_BYTES, COMMON = 64, 8 << 20, 0.3
+LEAST_WINDOW, SHARD_BYTES, VOCABULARY_BYTES, COMMON = 64, 4 << 20, 16 << 20, 0.3
+SLACK = 6e-7  # of scores that are rounded to six digits
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -46,18 +52,24 @@ def triples(words: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def length_class(n: int) -> int:
+    """Half the width of the passages that an item of n words meets."""
+    return max(LEAST_WINDOW, 1 << (n - 1).bit_length())
+
+
 class Index:
-    """BM25 postings of items, by term: item numbers and impacts in order, with the best impact of each block."""
+    """BM25 postings of items of one length class, by term: item numbers and impacts in order, with the best impact of each
+    block.  `mean` is the mean length of all items (None: of these)."""
 
-    def __init__(self, items: list[tuple[int, str | None]], df: dict[bytes, int], n_docs: int, *, k1: float = K1, b: float = B, block: int = BLOCK, threshold: float = THRESHOLD, common: float = COMMON):
+    def __init__(self, items: list[tuple[int, str | None]], df: dict[bytes, int], n_docs: int, *, mean: float | None = None, k1: float = K1, b: float = B, block: int = BLOCK, threshold: float = THRESHOLD, common: float = COMMON):
         common = min(common, 0.6 * threshold)
         texts = [(i, words_of(t)) for i, t in items]
         texts = sorted((i, w) for i, w in texts if w)
         self.ids = [i for i, _ in texts]
         self.halves = [(triples(w[: (len(w) + 1) // 2]), triples(w[(len(w) + 1) // 2 :])) for _, w in texts]
         self.sizes = [tuple(len(next(iter(h), ())) for h in halves) for halves in self.halves]
-        self.longest, self.block, self.threshold = max((len(w) for _, w in texts), default=0), block, threshold
-        mean = sum(len(w) for _, w in texts) / max(1, len(texts))
+        self.stride, self.block, self.threshold = length_class(max((len(w) for _, w in texts), default=1)), block, threshold
+        mean = mean or sum(len(w) for _, w in texts) / max(1, len(texts))
         self.postings: dict[bytes, tuple[list[int], list[float], list[float]]] = {}
         for n, (_, w) in enumerate(texts):
             own = {t: math.log(1 + (n_docs - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean)) for t, c in Counter(w).items()}
@@ -87,12 +99,12 @@ class Index:
         for t in terms & rare.keys():
             for n, x in rare[t]:
                 got[n] = got.get(n, 0.0) + x
-        held, need = self.held, self.threshold - 1e-9
+        held, need = self.held, self.threshold - SLACK
         return any(x + held[n] >= need for n, x in got.items())
 
     def search(self, terms: set[bytes]) -> list[tuple[int, float]]:
         """(item number, score) of all items that reach the threshold, by block-max WAND."""
-        need, block, found = self.threshold - 1e-9, self.block, []
+        need, block, found = self.threshold - SLACK, self.block, []
         lists = [[p[0][0], 0, p, self.best[t]] for t in terms if (p := self.postings.get(t))]
         while lists:
             lists.sort(key=lambda x: x[0])
@@ -138,10 +150,10 @@ class Index:
         """item number -> best (score, question overlap, answer overlap, first word of the passage)."""
         if not words or not self.ids:
             return {}
-        stride = max(LEAST_WINDOW, self.longest)
+        stride = self.stride
         get = self.rare.get
         best = np.fromiter((get(w, 0.0) for w in words), np.float64, len(words))
-        need = self.threshold - self.left_out - 1e-9
+        need = self.threshold - self.left_out - SLACK
         if best.sum() < need:
             return {}
         total = np.r_[0.0, np.cumsum(best)]
@@ -154,6 +166,8 @@ class Index:
             if not self.hopeful(terms):
                 continue
             for n, score in self.search(terms):
+                if (score := round(score, 6)) < self.threshold:
+                    continue
                 for size in self.sizes[n]:
                     if size and size not in there:
                         there[size] = triples(passage, size)
@@ -163,34 +177,55 @@ class Index:
         return out
 
 
-def item_shards(items: DataFrame, id_col: str, text_col: str, shard_bytes: int):
-    """Lists of items of about shard_bytes of text at most, one at a time."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = max(1, math.ceil(1.5 * size / shard_bytes)) if size > shard_bytes else 1
-    for k in range(shards):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k) if shards > 1 else rows
-        yield [(r["i"], r["t"]) for r in part.collect()]
+def indexes(items: list[tuple[int, str | None]], df: dict[bytes, int], n_docs: int, mean: float, threshold: float) -> list[Index]:
+    """An index for each length class of the items."""
+    classes: dict[int, list] = {}
+    for i, t in items:
+        if n := len(words_of(t)):
+            classes.setdefault(length_class(n), []).append((i, t))
+    return [Index(part, df, n_docs, mean=mean, threshold=threshold) for _, part in sorted(classes.items())]
 
 
-def document_counts(docs: DataFrame, terms: set[bytes]) -> tuple[dict[bytes, int], int]:
-    """(documents that have each term, documents) over all (id, text) rows; as many numbers as the shard's items have terms."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def item_rows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """i, t, n (words), terms (distinct words) of items with words."""
 
     def run(batches):
-        wanted, counts, n = sent.value, Counter(), 0
         for batch in batches:
-            n += batch.num_rows
-            for text in batch.column(1).to_pylist():
-                counts.update(wanted.intersection(words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.binary()), pa.array([n, *counts.values()], pa.int64())], names=["term", "n"])
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))], names=["i", "t", "n", "terms"])
+
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, "i long, t string, n long, terms array<binary>").where("n > 0")
+
+
+def parts_of(rows: DataFrame, size: int, most: int, key: str) -> list[DataFrame]:
+    """The rows in parts of about `most` of `size` bytes at most, by a hash of the key."""
+    n = -(-3 * size // (2 * most)) if size > most else 1
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
+
+
+def document_counts(docs: DataFrame, vocabulary: DataFrame, vocabulary_bytes: int) -> DataFrame:
+    """term, n: documents that have each term of the vocabulary; the row of the null term counts all documents."""
+
+    def counted(terms: set[bytes]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+        def run(batches):
+            wanted, counts, n = sent.value, Counter(), 0
+            for batch in batches:
+                n += batch.num_rows
+                for text in batch.column(1).to_pylist():
+                    counts.update(wanted.intersection(words_of(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.binary()), pa.array([n, *counts.values()], pa.int64())], names=["term", "n"])
+
+        return docs.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-    rows = docs.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {None if r["term"] is None else bytes(r["term"]): r["n"] for r in rows}
-    return counts, counts.pop(None, 0)
+    size = vocabulary.agg(F.sum(F.octet_length("term") + 60)).first()[0] or 0
+    parts = [counted({bytes(r["term"]) for r in part.collect()}) for part in parts_of(vocabulary, size, vocabulary_bytes, "term")]
+    return stored(functools.reduce(DataFrame.unionByName, [parts[0], *(p.where("term is not null") for p in parts[1:])]), "term-counts")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES, hash_col: str | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES, vocabulary_bytes: int = VOCABULARY_BYTES, hash_col: str | None = None) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, passage_start of each document and item found in it.
 
     With hash_col, documents are told apart by id and xxhash64 of the text, which that column then holds."""
@@ -200,19 +235,27 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long"), text, *([F.xxhash64(text)] if hash_col else []))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long" + (f", `{hash_col}` long" if hash_col else "")
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start", *([hash_col] if hash_col else [])]
+    known = stored(item_rows(items, item_col, item_text_col), "items")
+    size, mean = known.agg(F.sum(F.octet_length("t")), F.avg("n")).first()
+    if mean is None:  # no items, no rows
+        return spark.createDataFrame([], schema).select(*keys, "score", "question_overlap", "answer_overlap", "passage_start")
+    counts = document_counts(rows, known.select(F.explode("terms").alias("term")).distinct(), vocabulary_bytes)
+    n_docs = counts.where("term is null").agg(F.sum("n")).first()[0] or 0
     found = None
-    for shard in item_shards(items, item_col, item_text_col, shard_bytes):
-        df, n_docs = document_counts(rows, {w for _, t in shard for w in words_of(t)})
-        sent = spark.sparkContext.broadcast(Index(shard, df, n_docs, threshold=threshold))
+    for shard in parts_of(known, size, shard_bytes, "t"):
+        of_shard = counts.join(shard.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+        df = {bytes(r["term"]): r["n"] for r in of_shard.collect()}
+        sent = spark.sparkContext.broadcast(indexes([(r["i"], r["t"]) for r in shard.select("i", "t").collect()], df, n_docs, mean, threshold))
 
         def run(batches, sent=sent):
-            index = sent.value
             for batch in batches:
                 out: list[list] = [[] for _ in names]
                 for d, text, *th in zip(*(c.to_pylist() for c in batch.columns)):
-                    for n, (score, q, a, s) in index.matches(words_of(text), overlap).items():
-                        for col, x in zip(out, (d, index.ids[n], round(score, 6), round(q, 6), round(a, 6), s, *th)):
-                            col.append(x)
+                    words = words_of(text)
+                    for index in sent.value:
+                        for n, (score, q, a, s) in index.matches(words, overlap).items():
+                            for col, x in zip(out, (d, index.ids[n], score, round(q, 6), round(a, 6), s, *th)):
+                                col.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=names)
 

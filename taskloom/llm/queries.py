@@ -111,7 +111,29 @@ def _licenses_sql() -> str:
     select doc_id, path, coalesce(license, up) as license, score, case when license is not null then 'own' when up is not null then 'inherited' else 'none' end as origin, case when license is null then ld end as licensed_dir from o left join n using (dir)"""
 
 
+def _decontamination_sql() -> str:
+    """Passages by length class, BM25 shares and n-grams of the halves, all by lists and joins."""
+    d, words = decontaminate, "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
+    grams = lambda ws, k: f"list_distinct(list_transform(range(1, len({ws}) - {k} + 2), lambda i: array_to_string({ws}[i:i + {k} - 1], ' ')))"
+    share = lambda h, k: f"case when len({h}) = 0 then 1.0 else len(list_intersect({grams(h, k)}, {grams('ps', k)}))::double / len({grams(h, k)}) end"
+    return f"""
+    with i as (select item_id, {words} as ws from benchmark), it as (select item_id, ws, len(ws) as n, greatest({d.LEAST_WINDOW}, cast(2 ** ceil(log2(len(ws))) as bigint)) as c from i where len(ws) > 0),
+    m as (select avg(n) as mean from it), d as (select doc_id, {words} as ws from documents), nd as (select count(*) as n_docs from d),
+    tf as (select item_id, n, c, term, count(*) as k from (select item_id, n, c, unnest(ws) as term from it) group by all),
+    df as (select term, count(*) as df from (select unnest(list_distinct(ws)) as term from d) semi join tf using (term) group by term),
+    own as (select item_id, c, term, ln(1 + (n_docs - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) * k * ({d.K1} + 1) / (k + {d.K1} * (1 - {d.B} + {d.B} * n / mean)) as x from tf left join df using (term), m, nd),
+    im as (select item_id, c, term, x / sum(x) over (partition by item_id) as x from own),
+    p as (select doc_id, c, unnest(range(0, greatest(1, len(ws) - c), c)) as s, ws from d, (select distinct c from it)), q as (select doc_id, c, s, ws[s + 1:s + 2 * c] as ps from p),
+    w as (select doc_id, c, s, unnest(list_distinct(ps)) as term from q),
+    r as (select doc_id, item_id, c, s, round(sum(x), 6) as score from w join im using (c, term) group by all having round(sum(x), 6) >= {d.THRESHOLD}),
+    h as (select r.doc_id, r.item_id, r.s, score, ps, it.ws[1:(n + 1) // 2] as a, it.ws[(n + 1) // 2 + 1:] as b from r join q using (doc_id, c, s) join it using (item_id)),
+    v as (select doc_id, item_id, s, score, {share('a', 'least(3, len(a))')} as qo, {share('b', 'least(3, len(b))')} as ao from h)
+    select doc_id, item_id, score, round(qo, 6) as question_overlap, round(ao, 6) as answer_overlap, cast(s as bigint) as passage_start from v
+    where qo >= {d.OVERLAP} and ao >= {d.OVERLAP} qualify row_number() over (partition by doc_id, item_id order by score desc, s) = 1"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": _decontamination_sql(),
     "op3_license_scan": _licenses_sql(),
     "op1_substring_dedup": f"""
     with w as (select doc_id, {_WORDS} as ws from documents),

@@ -58,3 +58,21 @@ def test_host_list_of_any_size(spark, tmp_path):
     hosts.write.parquet(str(tmp_path / "hosts.parquet"))
     again = url_filter.judge(pages, block_hosts=url_filter.read_hosts(spark, str(tmp_path / "hosts.parquet")))
     assert rows_of(again, *cols) == small
+
+
+def test_contamination_is_independent_of_other_items_and_shards(spark):
+    """An item's matches are the same alone, beside a very long item, and in any shards; its halves far apart are no match."""
+    item, words = prose(900, 20), prose(900, 20).split()
+    apart = " ".join(words[:10]) + " " + prose(901, 3000) + " " + " ".join(words[10:])
+    docs = documents(spark, [(1, prose(902, 300) + " " + item + " " + prose(903, 200)), (2, apart), (3, prose(904, 5000)), (4, item), (None, item), (5, None)])
+    others = [(8, prose(905, 4000)), (9, prose(906, 130)), (10, prose(907, 65)), (11, ""), (12, None)]
+    cols = ("doc_id", "item_id", "question_overlap", "answer_overlap", "passage_start")
+    found = {}
+    for more in ([], others):
+        bench = spark.createDataFrame([(7, item), *more], "item_id long, text string")
+        for size in (decontaminate.SHARD_BYTES, 1000):
+            got = decontaminate.contaminated(docs, bench, shard_bytes=size, vocabulary_bytes=2000 if size == 1000 else decontaminate.VOCABULARY_BYTES)
+            found[len(more), size] = rows_of(got, *cols)
+    assert len({str(x) for x in found.values()}) == 1
+    assert [r[:2] for r in found[0, 1000]] == sorted([(1, 7), (4, 7), (None, 7)], key=repr)
+    assert decontaminate.contaminated(docs, bench.where("false")).collect() == []
