@@ -41,8 +41,9 @@ def episode_index(name: Column) -> Column:
 
 
 def shard_of(name: Column, path: Column, world: int, factor: int | None = None) -> Column:
-    """shard by episode token, by the folded hash of the path for names without one."""
-    own = F.pmod(shard_token(episode_index(name), factor).cast("decimal(20,0)"), F.lit(world))
+    """shard by the token of the first episode_<digits> anywhere in the name, by the folded hash of the path for names without one."""
+    index = F.nullif(F.regexp_extract(name, r"episode_(\d+)", 1), F.lit("")).cast("bigint")
+    own = F.pmod(shard_token(index, factor).cast("decimal(20,0)"), F.lit(world))
     return F.coalesce(own, F.pmod(folded_hash(path), F.lit(world))).cast("int")
 
 

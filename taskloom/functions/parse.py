@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from taskloom.operators.metrics import repaired_json
+from taskloom.functions.loose_json import loose_json
 
 BOX_LIST = "array<struct<label:string,bbox_2d:array<double>>>"
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.DOTALL)
@@ -98,7 +98,7 @@ def answer_boxes(text: Column) -> Column:
 
 def index_list(text: str | None, n: int) -> list[int]:
     """F16: the whole numbers below n of an answer's list, a doubled bracket undone; [] for anything else."""
-    items = repaired_json(text)
+    items = loose_json(text)
     if isinstance(items, list) and items and isinstance(items[0], list):
         items = items[0]
     return [x for x in items if isinstance(x, int) and not isinstance(x, bool) and 0 <= x < n] if isinstance(items, list) else []

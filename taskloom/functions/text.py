@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from taskloom.functions.loose_json import loose_json
+
 NUMBER = r"([-+]?(?:\d+\.\d+|\d+|\.\d+))(%?)"
 TAG = r"(?is)<progress>(.*?)</progress>"
 STRICT_TAG = r"(?i)<progress>\s*([+-]?\d+(?:\.\d+)?)\s*%?\s*</progress>"
@@ -91,16 +94,42 @@ def boxed(text: Column) -> Column:
     return F.coalesce(F.trim(found(text, r"(?s)<\|begin_of_box\|>(.*?)<\|end_of_box\|>")), text)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind around."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def without_thinking(text: Column) -> Column:
-    """without <think> sections."""
-    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    """without <think> sections and user marks."""
+    return stripped(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"<\|user\|>", ""))
+
+
+def after_thinking(text: Column) -> Column:
+    """what follows the first </think>, up to the next one; a text without one as a whole."""
+    return stripped(F.coalesce(F.get(F.split(text, "</think>", -1), F.lit(1)), text))
+
+
+def is_segment_list(text: str | None) -> bool:
+    """Whether an answer holds a list of objects, an empty one too."""
+    items = loose_json(text)
+    return isinstance(items, list) and all(isinstance(x, dict) for x in items)
+
+
+def states_progress(text: Column) -> Column:
+    """Whether a text has a progress tag."""
+    return F.coalesce(text.contains("<progress>") & text.contains("</progress>"), F.lit(False))
 
 
 def task_type(text: Column) -> Column:
-    """progress, segmentation (a JSON list of objects, the empty one too) or planning."""
-    rows = F.from_json(F.trim(text), "array<map<string,string>>")
-    is_list = F.trim(text).startswith("[") & rows.isNotNull() & ~F.exists(rows, lambda x: x.isNull())
-    return F.when(text.contains("<progress>") & text.contains("</progress>"), "progress").when(F.coalesce(is_list, F.lit(False)), "segmentation").otherwise("planning")
+    """progress, segmentation (a JSON list of objects, the empty one and one with a model's slips too) or planning.  Only
+    texts with a bracket and without a tag go through Python."""
+
+    @F.pandas_udf("boolean")
+    def listed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: is_segment_list(t) if t else False)
+
+    open_ = F.when(~states_progress(text) & text.contains("["), text)
+    return F.when(states_progress(text), "progress").when(listed(open_), "segmentation").otherwise("planning")
 
 
 def printable(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,13 +29,24 @@ def _echo():
     return lambda prompts: [p or "" for p in prompts]
 
 
+_engines: dict[str, Callable[[list[str]], list[str]]] = {}
+
+
+def engine_of(token: str, make) -> Callable[[list[str]], list[str]]:
+    """One engine a Python worker: it outlives the tasks, and gives way to that of the next column."""
+    if token not in _engines:
+        _engines.clear()
+        _engines[token] = make()
+    return _engines[token]
+
+
 def infer_column(make: Callable[[], Callable[[list[str]], list[str]]], batch: int = 64):
     """A pandas UDF of prompts.  The engine is made once a Python worker, batches keep their order, a batch that
     is too large is halved, and one that fails otherwise gives empty texts."""
-    held: dict[str, Callable] = {}
+    token = uuid.uuid4().hex
 
     def texts(part: list[str]) -> list[str]:
-        engine = held.setdefault("engine", None) or held.__setitem__("engine", make()) or held["engine"]
+        engine = engine_of(token, make)
         try:
             return halved(part, engine)
         except Exception:  # a failing call is an empty answer; retried() asks again

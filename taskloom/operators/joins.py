@@ -13,8 +13,11 @@ from taskloom.sources.tables import bounded
 
 
 def with_tasks(frames: DataFrame, tasks: DataFrame, sub_tasks: DataFrame | None = None) -> DataFrame:
-    """Task text by task_index (inner), sub-task text by sub_task_index (left), and the description that falls back on the task."""
-    rows = frames.join(bounded(tasks), "task_index")
+    """Task text by task_index, sub-task text by sub_task_index (left), and the description that falls back on the task.
+    A task_index without a task raises when the task is computed."""
+    rows = frames.join(bounded(tasks.withColumn("_known", F.lit(True))), "task_index", "left")
+    unknown = F.raise_error(F.concat(F.lit("no task of index "), F.coalesce(F.col("task_index").cast("string"), F.lit("null"))))
+    rows = rows.withColumn("task", F.when(F.col("_known"), F.col("task")).otherwise(unknown.cast("string"))).drop("_known")
     rows = rows.join(bounded(sub_tasks), "sub_task_index", "left") if sub_tasks is not None else rows
     return rows.withColumn("task_description", F.coalesce(F.nullif("sub_task", F.lit("")), "task")) if "sub_task" in rows.columns else rows
 
@@ -108,10 +111,10 @@ def unfinished(rows: DataFrame, done: DataFrame, keys: list[str], frame: str = "
 
 
 def plans_for(sub: DataFrame, plans: DataFrame, keys: list[str], fallback: str = "No plan is available.") -> DataFrame:
-    """Adds plan by task_index: the first one (by seq), without a closing done., a fallback if there is none."""
+    """Adds plan by task_index: the first one (by seq), without a closing `done.`, a fallback if there is none."""
     first = plans.groupBy(*keys).agg(F.min_by("plan", "seq").alias("plan"))
     rows = sub.join(first, keys, "left")
-    last = F.lower(F.element_at("plan", -1)).isin("done", "done.")
+    last = F.lower(F.element_at("plan", -1)) == "done."
     cut = F.when((F.size("plan") > 0) & last, F.slice("plan", F.lit(1), F.greatest(F.size("plan") - 1, F.lit(0)))).otherwise(F.col("plan"))
     return rows.withColumn("plan", F.coalesce(cut, F.array(F.lit(fallback))))
 

@@ -6,13 +6,16 @@ episode.  Averages are unweighted over episodes with two rows or more, 0 if ther
 
 from __future__ import annotations
 
-import json
+import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskloom.functions.text import progress_value, task_type
+from taskloom.functions.loose_json import loose_json
+from taskloom.functions.text import is_segment_list, progress_value, states_progress
 
 
 def parsed(rows: DataFrame, *, clamp: bool = False) -> DataFrame:
@@ -42,17 +45,10 @@ def ubr(rows: DataFrame, width: float = 5.0) -> DataFrame:
 
 
 def episode_epr(rows: DataFrame, tau: float = 0.5, k_max: int = 1000) -> DataFrame:
-    """A3: log2 of the finest resolution k at which at least tau of the bins are in use; predictions only.
-
-    n distinct values fill at most n bins, so only k up to n / tau can pass: the search is over the episode's distinct
-    values, in one array."""
-    p = rows.select("episode", F.greatest(F.lit(0.0), F.least(F.lit(100.0), progress_value(F.col("pred_txt")))).alias("p")).where(progress_value(F.col("pred_txt")).isNotNull())
-    a = p.groupBy("episode").agg(F.count("*").alias("n"), F.collect_set("p").alias("ps")).where("n >= 2")
-    top = F.least(F.lit(k_max), F.ceil(F.size("ps") / tau).cast("int") + 1)
-    # Spark's floor gives a long, so the same bins; p / 100 / (1 / k) in this order, since it decides ties
-    bins = lambda k: F.size(F.array_distinct(F.transform("ps", lambda x: F.floor(x / 100.0 / (1.0 / k.cast("double"))))))
-    good = F.filter(F.sequence(F.lit(1), top), lambda k: (1.0 / k.cast("double")) * bins(k) >= tau)
-    return a.select("episode", F.log2(F.array_max(good).cast("double")).alias("score"))
+    """A3: log2 of the finest resolution k at which at least tau of the bins are in use; predictions only."""
+    p = rows.select("episode", progress_value(F.col("pred_txt")).alias("p")).where("p is not null")
+    lists = p.groupBy("episode").agg(F.collect_list(F.struct(F.lit(0).cast("long").alias("seq"), "p", F.lit(None).cast("double").alias("g"))).alias("xs"))
+    return scored_lists(lists, {"epr": lambda x: epr_of(x.p, tau, k_max)}).where("epr is not null").select("episode", F.col("epr").alias("score"))
 
 
 def mcc(rows: DataFrame, threshold: float = 95.0) -> DataFrame:
@@ -65,11 +61,9 @@ def mcc(rows: DataFrame, threshold: float = 95.0) -> DataFrame:
 
 
 def episode_kendall(rows: DataFrame) -> DataFrame:
-    """A5: Kendall tau-a of each episode: pairs with a tie count 0.  The pairs are those of one episode's array."""
-    a = parsed(rows).groupBy("episode").agg(F.collect_list(F.struct("g", "p")).alias("xs"), F.count("*").alias("n")).where("n >= 2")
-    one = lambda x: F.aggregate("xs", F.lit(0.0), lambda s, y: s + F.signum(x["g"] - y["g"]) * F.signum(x["p"] - y["p"]))
-    total = F.aggregate("xs", F.lit(0.0), lambda s, x: s + one(x))
-    return a.select("episode", (total / (F.col("n") * (F.col("n") - 1))).alias("score"))
+    """A5: Kendall tau-a of each episode: pairs with a tie count 0."""
+    lists = parsed(rows).groupBy("episode").agg(F.collect_list(F.struct(F.lit(0).cast("long").alias("seq"), "p", "g")).alias("xs"))
+    return scored_lists(lists, {"kt": kendall_of}).where("kt is not null").select("episode", F.col("kt").alias("score"))
 
 
 def episode_voc(rows: DataFrame) -> DataFrame:
@@ -85,21 +79,6 @@ def episode_voc(rows: DataFrame) -> DataFrame:
 SEGMENT_RESULT = "struct<tp:long,fp:long,fn:long,matched_count:long,err_sum:double,f1:double,mae:double>"
 
 
-def repaired_json(text: str | None):
-    """The JSON of a text, of the outermost list in it, or of that after the common slips of models are mended; None without one."""
-    text = (text or "").strip()
-    if "```" in text:
-        text = text.split("```")[1].removeprefix("json").strip()
-    cut = text[text.find("[") : text.rfind("]") + 1] if "[" in text and "]" in text else text
-    mended = cut.replace("'", '"').replace("None", "null").replace("True", "true").replace("False", "false")
-    for t in (text, cut, mended, mended.replace(",]", "]").replace(",}", "}").replace(", ]", "]").replace(", }", "}")):
-        try:
-            return json.loads(t)
-        except ValueError:
-            continue
-    return None
-
-
 def boundary_list(segments) -> list[float] | None:
     """Distinct least and greatest number of each object with two numbers or more; None if it is no list."""
     if not isinstance(segments, list):
@@ -134,7 +113,7 @@ def matched_errors(a: list[float], b: list[float]) -> list[float]:
 def segment_score(pred_txt: str | None, gt_txt: str | None, sigma: float = 5.0) -> dict:
     """Boundaries matched within sigma percent of the true span."""
     zero = {"tp": 0, "fp": 0, "fn": 0, "matched_count": 0, "err_sum": 0.0, "f1": 0.0, "mae": 0.0}
-    pred, gt = boundary_list(repaired_json(pred_txt)), boundary_list(repaired_json(gt_txt))
+    pred, gt = boundary_list(loose_json(pred_txt)), boundary_list(loose_json(gt_txt))
     if pred is None or gt is None:
         return zero
     if not pred or not gt:
@@ -234,19 +213,124 @@ def label_similarity(a: Column, b: Column, va: Column, vb: Column) -> Column:
     return F.when(same, 1.0).when(va.isNull() | vb.isNull(), 0.0).otherwise(cosine(va, vb))
 
 
+class Points:
+    """One episode's predictions p, truths g and order seq; `both` are those with a truth."""
+
+    def __init__(self, seq: np.ndarray, p: np.ndarray, g: np.ndarray):
+        self.seq, self.p, self.g = seq, p, g
+
+    @property
+    def both(self) -> Points:
+        known = ~np.isnan(self.g)
+        return self if known.all() else Points(self.seq[known], self.p[known], self.g[known])
+
+
+def ccc_of(x: Points) -> float:
+    p, g = np.clip(x.p, 0, 100), np.clip(x.g, 0, 100)
+    vp, vg = p.var(), g.var()
+    if vp < 1e-8 or vg < 1e-8:
+        return 0.0
+    return float(2 * ((p - p.mean()) * (g - g.mean())).mean() / (vp + vg + (p.mean() - g.mean()) ** 2 + 1e-8))
+
+
+def epr_of(p: np.ndarray, tau: float = 0.5, k_max: int = 1000) -> float:
+    """n distinct values fill at most n bins, so only k up to n / tau can pass; p / 100 / (1 / k) in this order, since it decides ties."""
+    values = np.unique(np.clip(p, 0, 100))
+    for top in range(min(k_max, math.ceil(len(values) / tau) + 1), 0, -64):
+        k = np.arange(top, max(0, top - 64), -1)
+        bins = np.floor(values / 100.0 / (1.0 / k[:, None]))
+        used = 1 + (bins[:, 1:] != bins[:, :-1]).sum(axis=1)
+        if len(good := np.flatnonzero((1.0 / k) * used >= tau)):
+            return math.log2(k[good[0]])
+    return 0.0
+
+
+def inversions(a: np.ndarray) -> int:
+    """Pairs i < j with a[i] > a[j], by halves."""
+    if len(a) <= 128:
+        return int(np.count_nonzero(np.triu(a[:, None] > a, 1)))
+    left, right = a[: len(a) // 2], a[len(a) // 2 :]
+    across = len(left) * len(right) - int(np.searchsorted(np.sort(left), right, side="right").sum())
+    return inversions(left) + inversions(right) + across
+
+
+def kendall_of(x: Points) -> float:
+    """By sorting: pairs without a tie, less twice those in the other order."""
+    n = len(x.p)
+    tied = lambda *cols: sum(c * (c - 1) // 2 for c in np.unique(np.stack(cols), axis=1, return_counts=True)[1].tolist())
+    pairs = n * (n - 1) // 2 - tied(x.g) - tied(x.p) + tied(x.g, x.p)
+    return 2 * (pairs - 2 * inversions(x.p[np.lexsort((x.p, x.g))])) / (n * (n - 1))
+
+
+def voc_of(x: Points) -> float:
+    p = x.p[np.lexsort((x.seq, x.g))]
+    _, place, count = np.unique(p, return_inverse=True, return_counts=True)
+    last = np.cumsum(count)
+    r, t = (last - (count - 1) / 2.0)[place], np.arange(1.0, len(p) + 1)
+    scale = math.sqrt(t.var() * r.var())
+    s = float(((t - t.mean()) * (r - r.mean())).mean() / scale) if scale else 0.0
+    return max(-1.0, min(1.0, s))
+
+
+def scored_lists(lists: DataFrame, scores: dict) -> DataFrame:
+    """The columns of lists but xs (array of seq, p, g of one episode) and a double for each function of Points; null for fewer than two points."""
+    kept = [f for f in lists.schema if f.name != "xs"]
+
+    def run(batches):
+        for batch in batches:
+            xs = batch.column(batch.schema.get_field_index("xs"))
+            at = xs.offsets.to_numpy()
+            flat = xs.values
+            seq, p, g = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("seq", "p", "g"))
+            p, g = p.astype(float), g.astype(float)
+            out: list[list] = [[] for _ in scores]
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                x = Points(seq[a:b], p[a:b], g[a:b])
+                for col, (name, f) in zip(out, scores.items()):
+                    own = x if name == "epr" else x.both
+                    col.append(f(own) if len(own.p) >= 2 else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), *(pa.array(c, pa.float64()) for c in out)], names=[*(f.name for f in kept), *scores])
+
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} double" for n in scores)])
+    return lists.select(*(f.name for f in kept), "xs").mapInArrow(run, fields)
+
+
 def overall(rows: DataFrame, *, average: bool = False) -> DataFrame:
     """Metric, value over rows of seq, episode, pred_txt, gt_txt: boundary metrics of the segmentation rows, MCC of all rows
-    and the per-episode metrics of the progress rows."""
-    typed = rows.withColumn("kind", task_type(F.col("gt_txt")))
-    progress = typed.where("kind = 'progress'").drop("kind")
-    one = lambda df, name, col: df.select(F.lit(name).alias("metric"), F.col(col).alias("value"))
-    parts = [segmentation_totals(segmentation(typed.where("kind = 'segmentation'"))), one(mcc(rows), "MCC@95", "mcc")]
-    for name, f in (("CCC", episode_ccc), ("EPR@50", episode_epr), ("VOC", episode_voc), ("KT", episode_kendall)):
-        parts.append(one(mean_score(f(progress), "score"), name, "score"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.unionByName(out.agg(F.avg("value").alias("value")).select(F.lit("average").alias("metric"), "value")) if average else out
+    and the per-episode metrics of the progress rows.
+
+    The texts are read once; one shuffle brings an episode's numbers together (segmentation rows only as counts, summed on the
+    map side), and the scores of an episode are computed in one Arrow step."""
+
+    @F.pandas_udf(f"struct<listed:boolean,{SEGMENT_RESULT[7:]}")
+    def segment(pred: pd.Series, gt: pd.Series) -> pd.DataFrame:
+        none = {"listed": False} | segment_score(None, None)
+        found = [{"listed": True} | segment_score(p, g) if g and is_segment_list(g) else none for p, g in zip(pred, gt)]
+        return pd.DataFrame(found, columns=["listed", "tp", "fp", "fn", "matched_count", "err_sum", "f1", "mae"])
+
+    gt, progress = F.col("gt_txt"), states_progress(F.col("gt_txt"))
+    open_ = ~progress & F.coalesce(gt.contains("["), F.lit(False))
+    typed = rows.select("seq", "episode", progress_value(F.col("pred_txt")).alias("p"), progress_value(gt).alias("g"), progress.alias("progress"), segment(F.when(open_, F.col("pred_txt")), F.when(open_, gt)).alias("s"))
+    done_p, done_g, known = F.col("p") >= 95.0, F.col("g") >= 95.0, F.col("p").isNotNull() & F.col("g").isNotNull()
+    counts = {"mtp": done_p & done_g, "mtn": ~done_p & ~done_g, "mfp": done_p & ~done_g, "mfn": ~done_p & done_g}
+    sums = ("tp", "fp", "fn", "matched_count", "err_sum")
+    point = F.struct(F.col("seq").cast("long").alias("seq"), "p", "g")
+    per = typed.groupBy("episode").agg(
+        *(F.sum(F.when(F.col("s.listed"), F.col(f"s.{c}"))).alias(c) for c in sums), *(F.count_if(known & c).alias(n) for n, c in counts.items()),
+        F.collect_list(F.when(F.col("progress") & F.col("p").isNotNull(), point)).alias("xs"),
+    )
+    scores = {"ccc": ccc_of, "epr": lambda x: epr_of(x.p), "voc": voc_of, "kt": kendall_of}
+    a = scored_lists(per, scores).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in (*sums, *counts)), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in scores))
+    denominator = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    bf1 = F.when(denominator > 0, 2 * F.col("tp") / denominator)
+    mae = F.when(denominator > 0, F.coalesce(F.try_divide("err_sum", "matched_count"), F.lit(0.0)))
+    mcc_ = F.expr("(mtp * mtn - mfp * mfn) / sqrt((mtp + mfp) * (mtp + mfn) * (mtn + mfp) * (mtn + mfn) + 1e-8)")
+    named = [("BF1@5", bf1), ("mMAE", mae), ("MCC@95", mcc_), ("CCC", F.col("ccc")), ("EPR@50", F.col("epr")), ("VOC", F.col("voc")), ("KT", F.col("kt"))]
+    values = F.filter(F.array(*(F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in named)), lambda m: m["value"].isNotNull())
+    if average:
+        mean = F.aggregate(values, F.lit(0.0), lambda s, m: s + m["value"]) / F.size(values)
+        values = F.concat(values, F.array(F.struct(F.lit("average").alias("metric"), mean.alias("value"))))
+    return a.select(F.explode(values).alias("m")).select("m.*")
 
 
 def compared(new: DataFrame, old: DataFrame, keys: list[str], tolerance: float = 1e-3, metrics=("EPR@50", "VOC")) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from taskloom.functions import text as tx
 from taskloom.functions.hashing import uniform
 from taskloom.operators import sequence as sq
+from taskloom.sources.shared import stored
+from taskloom.sources.tables import bounded
 
 PROMPTS = {
     "a1": "The task is: {task}. Divide the frames above into the actions they show; answer with a JSON list of action_description, start_frame and end_frame.",
@@ -27,6 +29,9 @@ PROMPTS = {
 }
 HANDLERS: dict[str, Callable[..., DataFrame]] = {}
 
+#: Hash buckets that sample_each counts for each group.
+BUCKETS = 4096
+
 
 def handler(name: str):
     """T5: registers a question-answer handler by its task id."""
@@ -121,12 +126,25 @@ def one_shot_rows(rows: DataFrame, *, times: int = 3, cutoff: str = "cutoff") ->
 
 
 def sample_each(rows: DataFrame, groups: list[str], keys: list[str], rate: Column | float, *, at_least: int = 1, seed: int = 0) -> DataFrame:
-    """int(n * rate) rows of each group, `at_least` at the least, without replacement, by hash order."""
+    """int(n * rate) rows of each group, `at_least` at the least, without replacement, by hash order; a rate that is a column is one of the group.
+
+    Hashes are counted in BUCKETS of each group first, on the map side.  That tells the bucket in which the last row taken lies, so
+    only rows up to it are shuffled, and by group and bucket: a group of any size is spread over many tasks."""
     rate = F.lit(rate) if isinstance(rate, (int, float)) else rate
-    w = Window.partitionBy(*groups)
-    order = uniform(*map(F.col, keys), seed=seed)
-    rows = rows.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(order, *keys))})
-    return rows.where(F.col("_i") <= F.greatest(F.lit(at_least), F.floor(F.col("_n") * rate))).drop("_n", "_i")
+    u = uniform(*map(F.col, keys), seed=seed)
+    own = [F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)]
+    names = [f"_g{i}" for i in range(len(groups))]
+    counts = rows.select(*own, F.floor(u * BUCKETS).alias("_b"), rate.alias("_rate")).groupBy(*names, "_b").agg(F.count("*").alias("_c"), F.first("_rate").alias("_rate"))
+    w = Window.partitionBy(*names)
+    n = F.sum("_c").over(w)
+    counts = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy("_b")), "_want": F.least(n, F.greatest(F.lit(at_least), F.floor(n * F.first("_rate").over(w.orderBy("_b")))))})
+    border = stored(counts.where("_upto - _c < _want and _want <= _upto").select(*names, F.col("_b").alias("_border"), (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_rest")), "sample-borders")
+    same = F.lit(True)
+    for c, name in zip(groups, names):
+        same = same & rows[c].eqNullSafe(border[name])
+    kept = rows.join(bounded(border), same).withColumn("_b", F.floor(u * BUCKETS)).where("_b <= _border")
+    place = F.row_number().over(Window.partitionBy(*names, "_b").orderBy(u, *keys))
+    return kept.withColumn("_i", place).where("_b < _border or _i <= _rest").select(rows.columns)
 
 
 def sample_rate(rows: DataFrame, keys: list[str], rate: float, *, seed: int = 0) -> DataFrame:
@@ -324,16 +342,21 @@ def collated(rows: DataFrame, pack: str = "pack_id", *, order: str, size: str =
 
 
 def answer_mask(ids: Column, start: int = 77091, end: int = 151645, ignore: int = -100) -> Column:
-    """Labels: the ids from after each start token (and the one after it) to the end token, the others ignored."""
-    state = F.struct(F.lit(0).alias("on"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, x):
-        # 0: outside, 1: the start token has just been seen, 2: within an answer
-        take = a["on"] == 2
-        on = F.when(take & (x == end), 0).when(take, 2).when(a["on"] == 1, 2).when(x == start, 1).otherwise(0)
-        return F.struct(on.alias("on"), F.concat(a["out"], F.array(F.when(take, x).otherwise(ignore))).alias("out"))
-
-    return F.aggregate(ids, state, step, lambda a: a["out"])
+    """Labels: the ids from the second after each start token to the end token and the one after that, the others ignored;
+    an answer that never ends is ignored.  The fold keeps one span an answer, not a copy of the ids a token."""
+    spans = "array<struct<a:int,b:int>>"
+    state = F.struct(F.lit(-1).alias("open"), F.array().cast(spans).alias("spans"))
+    placed = F.transform(ids, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+
+    def step(a, p):
+        ends = (a["open"] >= 0) & (p["i"] >= a["open"]) & (p["x"] == end)
+        starts = (a["open"] < 0) & (p["x"] == start)
+        open_ = F.when(ends, -1).when(starts, p["i"] + 2).otherwise(a["open"])
+        return F.struct(open_.alias("open"), F.when(ends, F.concat(a["spans"], F.array(F.struct(a["open"].alias("a"), (p["i"] + 1).alias("b"))))).otherwise(a["spans"]).alias("spans"))
+
+    found = F.aggregate(placed, state, step, lambda a: a["spans"])
+    kept = lambda s: F.transform(ids, lambda x, i: F.when(F.exists(s, lambda p: (p["a"] <= i) & (i <= p["b"])), x).otherwise(F.lit(ignore)))
+    return F.element_at(F.transform(F.array(found), kept), 1)
 
 
 def preview(rows: DataFrame, keys: list[str], *, seed: int = 0, n: int = 1) -> DataFrame:

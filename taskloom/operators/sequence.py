@@ -77,13 +77,18 @@ def planned_actions(frames: DataFrame, ep: list[str], *, task: str = "task", sub
     return rows.withColumn("planned_actions", plan).drop("_task_run", "_head")
 
 
-def remaining_sub_tasks(frames: DataFrame, ep: list[str], *, sub_task: str = "sub_task", by: str = "frame_id") -> DataFrame:
-    """Adds the real sub-tasks of this run and the later ones, repeats kept."""
-    rows = islands(frames, ep, sub_task, by=by, name="_run")
-    heads = rows.where(is_real(F.col(sub_task))).groupBy(*ep, "_run").agg(F.first(sub_task).alias("s"))
-    whole = heads.groupBy(*ep).agg(F.sort_array(F.collect_list(F.struct("_run", "s"))).alias("all"))
-    ahead = F.transform(F.filter("all", lambda x: x["_run"] >= F.col("_run")), lambda x: x["s"])
-    return rows.join(whole, ep, "left").withColumn("remaining", F.coalesce(ahead, F.array().cast("array<string>"))).drop("all", "_run")
+def remaining_sub_tasks(frames: DataFrame, ep: list[str], *, task: str = "task", sub_task: str = "sub_task", by: str = "frame_id") -> DataFrame:
+    """Adds the sub-tasks left at a frame within its task run: empty, done and not done ones are dropped first, then
+    neighbours that are equal are folded, and those before the frame's latest sub-task are gone.  A frame without one keeps the list."""
+    rows = islands(frames, ep, task, by=by, name="_task_run")
+    w = Window.partitionBy(*ep, "_task_run").orderBy(by)
+    kept = F.when((F.length(sub_task) > 0) & ~F.col(sub_task).isin("done", "not done"), F.col(sub_task))
+    rows = rows.withColumn("_kept", kept)
+    rows = rows.withColumn("_head", F.when(~F.last("_kept", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).eqNullSafe(F.col("_kept")), F.col("_kept")))
+    own = F.last("_kept", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.collect_list("_head").over(w.rowsBetween(1, Window.unboundedFollowing))
+    first = F.when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("remaining", F.concat(first, later)).drop("_task_run", "_kept", "_head")
 
 
 def forward_fill(frames: DataFrame, ep: list[str], value: str, *, by: str = "frame_id") -> DataFrame:
@@ -185,15 +190,19 @@ def progress_label(frames: DataFrame, ep: list[str], *, sub_task: str = "sub_tas
     return rows.withColumn("progress_frac", F.coalesce(F.try_divide(before, F.sum("_dp").over(whole)), F.lit(0.0))).drop("_run", "_n", "_first", "_t", "_k", "_dp", "r")
 
 
-def progress_estimate(frames: DataFrame, ep: list[str], *, sub_task: str = "sub_task", by: str = "frame_id") -> DataFrame:
-    """Adds the whole percentage by the place of a frame's run among the real ones and its place within it."""
-    rows = islands(frames, ep, sub_task, by=by, name="_run")
-    run, whole = Window.partitionBy(*ep, "_run"), Window.partitionBy(*ep)
-    real = is_real(F.col(sub_task))
-    rows = rows.withColumns({"_n": F.count("*").over(run), "_at": F.row_number().over(run.orderBy(by)) - 1, "_head": F.when(real & (F.row_number().over(run.orderBy(by)) == 1), 1).otherwise(0)})
-    rows = rows.withColumns({"_valid": F.sum("_head").over(whole), "_idx": F.sum("_head").over(whole.orderBy(by)) - 1})
-    share = (F.col("_idx") + F.col("_at") / F.col("_n").cast("double")) / F.col("_valid").cast("double")
-    return rows.withColumn("progress_pct", F.when(real, F.least(F.floor(100 * share), F.lit(100))).cast("int")).drop("_run", "_n", "_at", "_head", "_valid", "_idx")
+def progress_estimate(frames: DataFrame, ep: list[str], *, task: str = "task", sub_task: str = "sub_task", by: str = "frame_id") -> DataFrame:
+    """Adds the whole percentage by the place of a frame's run among all runs of its task run, over the number of runs that are
+    neither empty nor done, and its place within the run.  Of runs with one sub-task the last one stands for all."""
+    rows = islands(islands(frames, ep, task, by=by, name="_task_run"), [*ep, "_task_run"], sub_task, by=by, name="_run")
+    seg = [*ep, "_task_run"]
+    run, whole, same = Window.partitionBy(*seg, "_run"), Window.partitionBy(*seg), Window.partitionBy(*seg, sub_task)
+    counted = F.coalesce((F.length(sub_task) > 0) & (F.col(sub_task) != "done"), F.lit(False)) & (F.row_number().over(run.orderBy(by)) == 1)
+    rows = rows.withColumns({"_counts": F.when(counted, 1).otherwise(0), "_last": F.max("_run").over(same)})
+    own = F.when(F.col("_run") == F.col("_last"), F.col(by))
+    rows = rows.withColumns({"_valid": F.greatest(F.lit(1), F.sum("_counts").over(whole)).cast("double"), "_st": F.min(own).over(same), "_ed": F.max(own).over(same) + 1})
+    within = (F.col(by) - F.col("_st")) / F.greatest(F.lit(1), F.col("_ed") - F.col("_st")).cast("double")
+    share = F.col("_last") / F.col("_valid") + within / F.col("_valid")
+    return rows.withColumn("progress_pct", F.least((share * 100).cast("int"), F.lit(100))).drop("_task_run", "_run", "_counts", "_last", "_valid", "_st", "_ed")
 
 
 def labelled_frames(raw: DataFrame, keys: list[str], *, delay: float = 0.0) -> DataFrame:

@@ -80,20 +80,20 @@ def p4_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.unfinished(f.select("episode", "frame_id"), done, ["episode"])
 
 
-@query("""with p as (select l_orderkey as o, arg_min(case when l_linenumber % 2 = 0 then 'pick>place' else 'pick' end, l_partkey * 100000.0 + l_suppkey + l_quantity / 100) as plan from lineitem group by 1)
+@query("""with p as (select l_orderkey as o, arg_min(case l_linenumber % 3 when 0 then 'pick>place' when 1 then 'pick>done' else 'pick' end, l_partkey * 100000.0 + l_suppkey + l_quantity / 100) as plan from lineitem group by 1)
     select o_orderkey, coalesce(plan, 'No plan is available.') as plan from orders left join p on o_orderkey = o""")
 def j9_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = base.table(spark, sf_dir, "lineitem")
-    plan = F.when(F.col("l_linenumber") % 2 == 0, F.array(*map(F.lit, ("pick", "place", "Done.")))).otherwise(F.array(F.lit("pick")))
+    plan = F.when(F.col("l_linenumber") % 3 == 0, F.array(*map(F.lit, ("pick", "place", "Done.")))).when(F.col("l_linenumber") % 3 == 1, F.array(*map(F.lit, ("pick", "done")))).otherwise(F.array(F.lit("pick")))
     plans = l.select(F.col("l_orderkey").alias("o_orderkey"), plan.alias("plan"), (F.col("l_partkey") * 100000.0 + F.col("l_suppkey") + F.col("l_quantity") / 100).alias("seq"))
     rows = joins.plans_for(base.table(spark, sf_dir, "orders").select("o_orderkey"), plans, ["o_orderkey"])
     return rows.select("o_orderkey", F.array_join("plan", ">").alias("plan"))
 
 
-@query(f"""with {BOXES}, s as (select * from bx where episode % 10 = 3), p as (select a.episode, a.frame_id as f1, a.box_no as b1, b.frame_id as f2, b.box_no as b2,
-    0.5 * sqrt(power((a.x1 + a.x2 - b.x1 - b.x2) / 2, 2) + power((a.y1 + a.y2 - b.y1 - b.y2) / 2, 2)) / sqrt(2) + 0.5 * (1 - (greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))) /
+@query(f"""with {BOXES}, s as (select * from bx), p as (select a.episode, a.frame_id as f1, a.box_no as b1, b.frame_id as f2, b.box_no as b2,
+    0.5 * sqrt(power((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + power((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2)) / sqrt(2) + 0.5 * (1 - (greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))) /
     greatest(1e-8, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))) as d
-    from s a join s b on a.episode = b.episode and b.frame_id > a.frame_id and b.frame_id - a.frame_id <= 10) select episode, f1, b1, f2, b2, round(d, 6) as dist from p where d < 0.1""")
+    from s a join s b on a.episode = b.episode and b.frame_id > a.frame_id) select episode, f1, b1, f2, b2, round(d, 6) as dist from p where d < 0.1""")
 def j11_matched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = base.boxed_frames(spark, sf_dir)
     one = f.select("episode", "frame_id", F.posexplode("bboxes").alias("n", "b")).select("episode", "frame_id", F.col("n").cast("long").alias("box_no"), "b.bbox_2d")
@@ -369,9 +369,11 @@ def t15_cost_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.with_chunks(q, ["batch"], cost="cost", budget=20000.0, key="doc_id")
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then '-100,-100,-100,5,151645,-100' else '-100,-100' end as labels from documents")
+@query("select doc_id, case doc_id % 4 when 0 then '-100,-100,-100,5,151645,9,-100' when 1 then '-100,-100' when 2 then '-100,-100,-100,-100' else '-100,-100,5,151645,8,-100,-100,6,151645' end as labels from documents")
 def t18_answer_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, (7, 77091, 198, 5, 151645, 9)))).otherwise(F.array(F.lit(1), F.lit(2)))
+    """One answer, none, one that never ends, two."""
+    i, of = F.col("doc_id") % 4, lambda *xs: F.array(*map(F.lit, xs))
+    ids = F.when(i == 0, of(7, 77091, 198, 5, 151645, 9, 9)).when(i == 1, of(1, 2)).when(i == 2, of(77091, 198, 5, 6)).otherwise(of(77091, 0, 5, 151645, 8, 77091, 0, 6, 151645))
     return base.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(qa.answer_mask(ids), lambda x: x.cast("string")), ",").alias("labels"))
 
 
@@ -433,11 +435,11 @@ def p12_token_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.qa(spark, sf_dir).where("num_tokens > 4000").select("doc_id", "num_tokens")
 
 
-@query("select o_orderkey from orders where o_orderkey % 7 - 1 = -1 or (o_orderkey % 7 - 1) / 2.0 >= 1")
+@query("select o_orderkey from orders where o_orderkey % 7 = 6 or o_orderkey % 7 - 1 >= 1")
 def p13_video_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A duration that could not be read (-1) is unknown and stays."""
-    seconds = (F.col("o_orderkey") % 7 - 1) / 2.0
-    o = base.table(spark, sf_dir, "orders").select("o_orderkey", F.nullif(seconds, F.lit(-0.5)).alias("duration"), F.lit(1).alias("num_tokens"))
+    """A video that could not be read has the duration -1 and goes; a row without a video has none and stays."""
+    seconds = F.when(F.col("o_orderkey") % 7 < 6, (F.col("o_orderkey") % 7 - 1).cast("double"))
+    o = base.table(spark, sf_dir, "orders").select("o_orderkey", seconds.alias("duration"), F.lit(1).alias("num_tokens"))
     return qa.context_split(o, least=0, most=10, keys=["o_orderkey"]).select("o_orderkey")
 
 

@@ -33,7 +33,7 @@ def w1_frame_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.frame_offsets(base.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("episode")).agg(F.count("*").alias("n")))
 
 
-@query("with n as (select user_id as episode, count(*) as n from events group by 1), o as (select episode, cast(sum(n) over (order by episode) - n as bigint) as first_index, cast(sum(n) over (order by episode) as bigint) as end_index from n) select * from o where episode % 3 = 0")
+@query("with n as (select user_id as episode, count(*) as n from events group by 1), o as (select episode, cast(sum(n) over (order by episode) - n as bigint) as first_index, cast(sum(n) over (order by episode) as bigint) as end_index from n) select * from o")
 def w2_episode_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = base.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("episode")).agg(F.count("*").alias("n"))
     return sq.frame_offsets(n).drop("n")
@@ -84,8 +84,10 @@ def w6_planned_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.planned_actions(base.frames(spark, sf_dir), EP).select("episode", "frame_id", F.array_join("planned_actions", ">").alias("plan"))
 
 
-@query(f"""with {FRAMES}, {_islands('sub_task')}, r as (select episode, run, sub_task from s_run where {REAL.format('sub_task')} group by all)
-    select s.episode, s.frame_id, coalesce(string_agg(r.sub_task, '>' order by r.run), '') as remaining from s_run s left join r on r.episode = s.episode and r.run >= s.run group by all""")
+@query(f"""with {FRAMES}, {_islands('task')}, a as (select *, case when sub_task <> '' and sub_task not in ('done', 'not done') then sub_task end as st from s_run),
+    b as (select *, last_value(st ignore nulls) over (partition by episode, run order by frame_id rows between unbounded preceding and 1 preceding) as pv from a),
+    x as (select *, sum(case when st is not null and st is distinct from pv then 1 else 0 end) over (partition by episode, run order by frame_id) as ix from b), r as (select episode, run, ix, st from x where st is not null and st is distinct from pv)
+    select x.episode, x.frame_id, coalesce(string_agg(r.st, '>' order by r.ix), '') as remaining from x left join r on r.episode = x.episode and r.run = x.run and r.ix >= x.ix group by all""")
 def w7_remaining_sub_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.remaining_sub_tasks(base.frames(spark, sf_dir), EP).select("episode", "frame_id", F.array_join("remaining", ">").alias("remaining"))
 
@@ -177,9 +179,11 @@ def w18_progress_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("episode", "frame_id", F.round("progress_frac", 6).alias("progress_frac"))
 
 
-@query(f"""with {FRAMES}, {_islands('sub_task')}, d as (select *, {REAL.format('sub_task')} as ok, row_number() over (partition by episode, run order by frame_id) - 1 as i, count(*) over (partition by episode, run) as n from s_run),
-    e as (select *, sum(case when ok and i = 0 then 1 else 0 end) over (partition by episode) as v, sum(case when ok and i = 0 then 1 else 0 end) over (partition by episode order by frame_id) - 1 as x from d)
-    select episode, frame_id, cast(case when ok then least(100, floor(100 * ((x + i / n::double) / v::double))) end as integer) as progress_pct from e""")
+@query(f"""with {FRAMES}, {_islands('task')}, h as (select episode, run as seg, frame_id, sub_task, lag(sub_task) over (partition by episode, run order by frame_id) is distinct from sub_task as hd from s_run),
+    s as (select *, sum(case when hd then 1 else 0 end) over (partition by episode, seg order by frame_id) - 1 as idx from h), r as (select episode, seg, idx, sub_task, min(frame_id) as st, max(frame_id) + 1 as ed from s group by all),
+    v as (select episode, seg, greatest(1, count(*) filter (sub_task <> '' and sub_task <> 'done')) as valid from r group by all), l as (select *, row_number() over (partition by episode, seg, sub_task order by idx desc) as back from r)
+    select s.episode, s.frame_id, cast(least(100, trunc((l.idx / valid::double + ((s.frame_id - st) / greatest(1, ed - st)::double) / valid::double) * 100)) as integer) as progress_pct
+    from s join l on l.episode = s.episode and l.seg = s.seg and l.sub_task = s.sub_task and back = 1 join v on v.episode = s.episode and v.seg = s.seg""")
 def w19_progress_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.progress_estimate(base.frames(spark, sf_dir), EP).select("episode", "frame_id", "progress_pct")
 

@@ -45,7 +45,7 @@ def _dataset(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
-@query(f"with {FRAMES} select episode, frame_id as frame_index, value, printf('chunk-%03d', (episode // 50)::integer) as chunk_name from fr where episode < 150")
+@query(f"with {FRAMES} select episode, frame_id as frame_index, value, printf('chunk-%03d', (episode // 50)::integer) as chunk_name from fr")
 def s2_s5_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taskloom.sources.tables import file_path
 
@@ -88,7 +88,7 @@ def _renamed(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(F.col("cluster").isin("en", "de")).withColumn("image", tables.as_list(F.col("image")))
 
 
-@query("select event_id as seq, 'q ' || event_type as question, 'line one' || chr(10) || 'k' || event_id as gt_txt, '<progress>' || value || '</progress>' as pred_txt from events where event_id < 300")
+@query("select event_id as seq, 'q ' || event_type as question, 'line one' || chr(10) || 'k' || event_id as gt_txt, '<progress>' || value || '</progress>' as pred_txt from events")
 def s8_eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of 1000 events a file; the folder has the id of the first, from which the samples of a file count on."""
     path = _folder(spark, "logs")
@@ -107,8 +107,7 @@ def s9_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "packs")
     f = base.frames(spark, sf_dir).select("episode", "frame_id", "sub_task").withColumn("pack_id", F.col("episode"))
     sinks.write_packed(f, path)
-    rows = spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<episode:bigint,frame_id:bigint,sub_task:string>>")).alias("r"))
-    return rows.select("r.*")
+    return tables.packed_rows(spark, path, "episode:bigint,frame_id:bigint,sub_task:string")
 
 
 @query("select distinct source as dataset_name, 'episode_' || (doc_id // 10) as episode_name from documents where doc_id in (select doc_id from labels)")

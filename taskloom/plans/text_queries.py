@@ -64,48 +64,47 @@ def f4_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(tx.reasoning_text(t)).alias("h"))
 
 
-_EN = "select doc_id, text from documents where lang = 'en'"
-
-
-@query(rf"""select doc_id, md5(array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(replace(lower('1. ' || text), chr(13), chr(10)), '\b[0-9]+\.\s*', '', 'g'), '[.\n;]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|')) as h from ({_EN})""")
+@query(rf"""select doc_id, md5(array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(replace(lower('1. ' || text), chr(13), chr(10)), '\b[0-9]+\.\s*', '', 'g'), '[.\n;]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|')) as h from documents""")
 def f5_split_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = base.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(F.array_join(tx.split_actions(F.concat(F.lit("1. "), F.col("text"))), "|")).alias("h"))
 
 
-@query(rf"""select doc_id, md5(array_to_string(list_transform(list_filter(list_transform(string_split('2. ' || text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: case when regexp_matches(x, '^[0-9]') then regexp_replace(x, '^[^.]*\.\s*', '') else x end), '|')) as h from ({_EN})""")
+@query(rf"""select doc_id, md5(array_to_string(list_transform(list_filter(list_transform(string_split('2. ' || text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: case when regexp_matches(x, '^[0-9]') then regexp_replace(x, '^[^.]*\.\s*', '') else x end), '|')) as h from documents""")
 def f6_plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = base.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(F.array_join(tx.plan_lines(F.concat(F.lit("2. "), F.col("text"))), "|")).alias("h"))
 
 
-@query(f"with s as (select doc_id, array_to_string(string_split(text, '. ')[1:3], '. ') as t from ({_EN})) select doc_id, md5(case when ends_with(t, '.') then t else t || '.' end) as h from s")
+@query(f"with s as (select doc_id, array_to_string(string_split(text, '. ')[1:3], '. ') as t from documents) select doc_id, md5(case when ends_with(t, '.') then t else t || '.' end) as h from s")
 def f7_first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = base.table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(tx.first_sentences(F.col("text"))).alias("h"))
 
 
-@query("select event_id, case when event_id % 2 = 0 then 'go on ' || event_id else 'plain ' || event_id end as t, event_id % 3 = 0 as done, case when event_id % 4 = 0 then 'box ' || event_id else 'k ' || event_id end as boxed, 'ok ' || event_id as spoken from events")
+@query("select event_id, case when event_id % 2 = 0 then 'go on ' || event_id else 'plain ' || event_id end as t, event_id % 3 = 0 as done, case when event_id % 4 = 0 then 'box ' || event_id else 'k ' || event_id end as boxed, 'ok ' || event_id as spoken, case event_id % 3 when 0 then 'ok ' || event_id when 1 then 'reasoning</think> ok ' || event_id || '</think>x' else 'ok ' || event_id end as cleaned from events")
 def f8_f9_f13_f14_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     s = i.cast("string")
     cot = F.when(i % 2 == 0, F.concat(F.lit("think cot: go on "), s)).otherwise(F.concat(F.lit("plain "), s))
     verdict = F.when(i % 3 == 0, "YES, it is").otherwise("no")
     box = F.when(i % 4 == 0, F.concat(F.lit("<|begin_of_box|> box "), s, F.lit(" <|end_of_box|>"))).otherwise(F.concat(F.lit("k "), s))
-    think = F.concat(F.lit("<think>a\nb</think> ok "), s)
+    think = F.when(i % 3 == 0, F.concat(F.lit("<think>a\nb</think> ok "), s)).when(i % 3 == 1, F.concat(F.lit("reasoning</think> ok "), s, F.lit("</think>x"))).otherwise(F.concat(F.lit(" ok "), s, F.lit("\n")))
     e = base.table(spark, sf_dir, "events")
-    return e.select("event_id", tx.after_marker(cot).alias("t"), tx.done_verdict(verdict).alias("done"), tx.boxed(box).alias("boxed"), tx.without_thinking(think).alias("spoken"))
+    return e.select("event_id", tx.after_marker(cot).alias("t"), tx.done_verdict(verdict).alias("done"), tx.boxed(box).alias("boxed"), tx.after_thinking(think).alias("spoken"), tx.without_thinking(think).alias("cleaned"))
 
 
-@query(f"select doc_id, trim(string_split(text, '.')[2]) as reason from ({_EN})")
+@query(f"select doc_id, trim(string_split(text, '.')[2]) as reason from documents")
 def f10_finish_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "documents").select("doc_id", tx.finish_reason(F.col("text")).alias("reason"))
 
 
-@query("select event_id, case event_id % 4 when 0 then 'progress' when 1 then 'segmentation' when 2 then 'planning' else 'segmentation' end as kind from events")
+@query("select event_id, case when event_id % 8 = 0 then 'progress' when event_id % 8 in (2, 7) then 'planning' else 'segmentation' end as kind from events")
 def f17_task_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("event_id") % 4
-    t = F.when(m == 0, "<progress>5%</progress>").when(m == 1, '[{"action_description": "a", "start_frame": 1}]').when(m == 2, "1. open it").otherwise("[]")
+    """A tag, a strict list, a plan, the empty list, and lists with a fence, a trailing comma and no end; a list of numbers is a plan."""
+    m = F.col("event_id") % 8
+    t = F.when(m == 0, "<progress>5%</progress>").when(m == 1, '[{"action_description": "a", "start_frame": 1}]').when(m == 2, "1. open it").when(m == 3, "[]")
+    t = t.when(m == 4, '```json\n[{"a": 1}]\n```').when(m == 5, '[{"a": 1},]').when(m == 6, "[{'d': 'the man's cup', 's': 1}, {'d': 'it").otherwise("[1, 2]")
     return base.table(spark, sf_dir, "events").select("event_id", tx.task_type(t).alias("kind"))
 
 
@@ -117,7 +116,7 @@ def f18_printable(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 
 
-@query(f"select doc_id, md5(array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w not in ({_STOP})), ' ')) as h from ({_EN})")
+@query(f"select doc_id, md5(array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w not in ({_STOP})), ' ')) as h from documents")
 def f19_content_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(tx.content_words(F.col("text")), " ")).alias("h"))
 
@@ -130,11 +129,15 @@ def f20_f21_f22_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("episode", tx.filled("Do {e}: {list}", e=e, list=tx.numbered(F.col("xs"))).alias("prompt"), tx.image_path(F.lit("r"), e).alias("image"), tx.clip_path(F.lit("r"), e, e + 7).alias("clip"), F.array_join(tx.timestamp_marks(e % 5), "").alias("marks"))
 
 
-@query("""with recursive b as (select c_custkey, c_name as s from customer), t as (select range as i from range(256)), z(i, v, n) as (select i, i, 0 from t union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, n + 1 from z where n < 8),
+#: hf(c_custkey, h): the folded hash of the texts s of {source}; a crc32 by table, then the product in two halves.
+_FOLDED = """with recursive b as ({source}), t as (select range as i from range(256)), z(i, v, n) as (select i, i, 0 from t union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, n + 1 from z where n < 8),
     l as (select i, v from z where n = 8), r(c_custkey, s, k, x) as (select c_custkey, s, 1, 4294967295::bigint from b union all select r.c_custkey, s, k + 1, xor(r.x >> 8, l.v) from r join l on l.i = (xor(r.x, ascii(substr(s, k, 1))::bigint) & 255) where k <= length(s)),
     c as (select c_custkey, xor(x, 4294967295::bigint) as x from r where k = length(s) + 1), f as (select c_custkey, xor(x, x >> 16)::hugeint as x from c),
-    p as (select c_custkey, (((x * (11400714819323198485::hugeint // 4294967296)) % 4294967296) * 4294967296 + x * (11400714819323198485::hugeint % 4294967296)) % 18446744073709551616::hugeint as p from f)
-    select c_custkey, cast((p // 4294967296) * 4294967296::hugeint + xor((p // 4294967296)::bigint, (p % 4294967296)::bigint)::hugeint as varchar) as h from p""")
+    p as (select c_custkey, (((x * (11400714819323198485::hugeint // 4294967296)) % 4294967296) * 4294967296 + x * (11400714819323198485::hugeint % 4294967296)) % 18446744073709551616::hugeint as p from f),
+    hf as (select c_custkey, cast((p // 4294967296) * 4294967296::hugeint + xor((p // 4294967296)::bigint, (p % 4294967296)::bigint)::hugeint as varchar) as h from p)"""
+
+
+@query(_FOLDED.format(source="select c_custkey, c_name as s from customer") + " select * from hf")
 def f23_folded_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "customer").select("c_custkey", hashing.folded_hash(F.col("c_name")).cast("string").alias("h"))
 
@@ -144,11 +147,13 @@ def f24_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.table(spark, sf_dir, "documents").select("doc_id", hashing.content_hash(F.encode("text", "UTF-8"), F.lit("(640, 480)")).alias("h"))
 
 
-@query("select user_id as episode, (user_id // 10) % 7 % 4 as shard from events group by user_id")
+@query(_FOLDED.format(source="select c_custkey, case when c_custkey % 2 = 0 then 'episode_' || lpad(c_custkey::varchar, 6, '0') || '.plan.jsonl' else c_name end as s from customer") + """
+    select c_custkey, cast(case when c_custkey % 2 = 0 then (c_custkey // 10) % 7 % 4 else cast(h as hugeint) % 4 end as bigint) as shard from hf""")
 def f25_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = base.table(spark, sf_dir, "events").select("user_id").distinct()
-    name = F.concat(F.lit("episode_"), F.col("user_id").cast("string"), F.lit(".parquet"))
-    return u.select(F.col("user_id").alias("episode"), hashing.shard_of(name, name, 4, 7).cast("long").alias("shard"))
+    """Names with an episode's index and a suffix, and names without one."""
+    named = F.concat(F.lit("episode_"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(".plan.jsonl"))
+    name = F.when(F.col("c_custkey") % 2 == 0, named).otherwise(F.col("c_name"))
+    return base.table(spark, sf_dir, "customer").select("c_custkey", hashing.shard_of(name, name, 4, 7).cast("long").alias("shard"))
 
 
 @query(f"with {FRAMES} select episode, frame_id from fr where (episode // 10) % 3 = 1")

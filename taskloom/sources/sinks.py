@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,21 @@ def validated(lines: DataFrame, schema: str, column: str = "value") -> DataFrame
 
 
 def write_packed(groups: DataFrame, path: str, pack: str = "pack_id") -> None:
-    """K3: a JSON array of rows a line for each pack."""
+    """K3: part files that are each one JSON array of packs, a pack being an array of its rows."""
     rows = groups.groupBy(pack).agg(F.collect_list(F.struct(*(c for c in groups.columns if c != pack))).alias("rows"))
-    rows.select(F.to_json("rows").alias("value")).write.mode("overwrite").text(path)
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                out.append(("[" if first else ",") + text)
+                first = False
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+        if not first:
+            yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    rows.select(F.to_json("rows").alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -31,7 +44,8 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_parquet(df: DataFrame, path: str, backup: str | None = None, backup_columns: list[str] | None = None) -> None:
-    """K4: writes beside the target and renames, with the old rows' columns kept as JSON first if wanted."""
+    """K4: writes beside the target, renames the old table aside, the new one in, and deletes the old one last, so that a failure at any step
+    leaves a whole table; with the old rows' columns kept as JSON first if wanted."""
     spark = df.sparkSession
     fs, target = _fs(spark, path)
     if backup and fs.exists(target):
@@ -39,11 +53,15 @@ def replace_parquet(df: DataFrame, path: str, backup: str | None = None, backup_
         old.select(*(backup_columns or old.columns)).write.mode("overwrite").json(backup)
     passing = f"{path}.{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(passing)
-    _, source = _fs(spark, passing)
-    if fs.exists(target):
-        fs.delete(target, True)
+    (_, source), (_, aside) = _fs(spark, passing), _fs(spark, f"{passing}.old")
+    if (there := fs.exists(target)) and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
+        if there:
+            fs.rename(aside, target)
         raise OSError(f"could not rename {passing} to {path}")
+    if there:
+        fs.delete(aside, True)
 
 
 def matching(spark: SparkSession, pattern: str) -> list[str]:

@@ -128,6 +128,12 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def packed_rows(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """The rows of files that are each one JSON array of packs; a file is read by one task, so packs are written in many files."""
+    packs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<array<struct<{fields}>>>")).alias("pack"))
+    return packs.select(F.explode("pack").alias("r")).select("r.*")
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Image files as path and bytes; decoding is up to an injected function, since no codec is part of the library."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").alias("bytes"))
