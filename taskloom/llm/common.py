@@ -23,9 +23,11 @@ def small_batches(spark: SparkSession) -> None:
 TASK_BYTES = 64 << 20
 
 
-def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
-    """Tasks for a shuffle of df: the session's number, more if the estimated size asks for more."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-estimated_bytes(df) // task_bytes), 1 << 20))
+def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES, most: int = 100_000) -> int:
+    """Tasks for a shuffle of df: the session's number, more if the estimated size asks for more.  An estimate of a petabyte
+    or more is that of a source that doesn't know its size, and tells nothing."""
+    own, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(df)
+    return own if size >= 1 << 50 else max(own, min(-(-size // task_bytes), most))
 
 
 def texts_of(column: pa.Array) -> list[bytes | None]:
