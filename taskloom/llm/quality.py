@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let
+from taskloom.sources.tables import bounded
+
+from .common import WORD, let, stored
 
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -91,12 +93,20 @@ def apply_policy(rows: DataFrame, mask: int) -> DataFrame:
 def ablation(rows: DataFrame, policies: dict[str, int] = POLICIES, rules=RULES) -> DataFrame:
     """A row a policy and rule of it: documents, rejected by the policy, failed by the rule, failed by the rule
     alone (kept if it were left out)."""
-    spark = rows.sparkSession
     counts = rows.groupBy("fail_bits").agg(F.count("*").alias("n"))
-    pairs = [(v, m, name, 1 << k) for v, m in policies.items() for k, (name, _) in enumerate(rules) if m >> k & 1]
-    plan = spark.createDataFrame(pairs, "policy string, mask long, rule string, bit long")
+    pairs = [F.struct(F.lit(v).alias("policy"), F.lit(m).cast("long").alias("mask"), F.lit(name).alias("rule"), F.lit(1 << k).cast("long").alias("bit")) for v, m in policies.items() for k, (name, _) in enumerate(rules) if m >> k & 1]
+    # a row for each pattern of bits, not for each document
+    table = counts.select("fail_bits", "n", F.explode(F.array(*pairs)).alias("p")).select("fail_bits", "n", "p.*")
     hit = F.col("fail_bits").bitwiseAND(F.col("mask"))
-    # both sides are tables over rules, not over documents
-    table = counts.crossJoin(F.broadcast(plan))
     total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0).cast("long")))
-    return table.groupBy("policy", "rule").agg(F.sum("n").alias("n_docs"), total(hit != 0).alias("n_rejected"), total(F.col("fail_bits").bitwiseAND(F.col("bit")) != 0).alias("n_failed"), total(hit == F.col("bit")).alias("n_only"))
+    return table.groupBy("policy", "rule", "bit").agg(F.sum("n").alias("n_docs"), total(hit != 0).alias("n_rejected"), total(F.col("fail_bits").bitwiseAND(F.col("bit")) != 0).alias("n_failed"), total(hit == F.col("bit")).alias("n_only"))
+
+
+def judged(entries: DataFrame, version: str, policies: dict[str, int] = POLICIES) -> DataFrame:
+    """A stored ledger under all policies: kept (by `version`), kept_<other version>, and n_alike: of a document that one rule alone
+    rejects, how many that rule alone rejects (from the ablation); the ledger is all that is read."""
+    rows = apply_policy(entries, policies[version])
+    others = {f"kept_{v}": F.col("fail_bits").bitwiseAND(F.lit(m).cast("long")) == 0 for v, m in policies.items() if v != version}
+    alone = stored(ablation(entries, policies).where(F.col("policy") == version).select(F.col("bit").alias("_bit"), F.col("n_only").alias("n_alike")), "ablation")
+    hit = F.col("fail_bits").bitwiseAND(F.lit(policies[version]).cast("long"))
+    return rows.withColumns(others).join(bounded(alone), hit == F.col("_bit"), "left").drop("_bit")

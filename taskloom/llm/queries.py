@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, near_dedup, pieces, quality, secrets, substring_dedup, token_output, url_filter, warc
+from .common import stored
 
 #: The public tokenizer files; a parameter of the operators.  Executors have the package that holds them, too.
 PIECES, WORDS = map(public_tokenizers.path, ("piece_bpe_32k.model", "word_bpe_49k.json"))
@@ -58,9 +59,9 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["v1"])
+    rows = quality.judged(stored(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger"), "v1")
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.BASE_BITS).cast("long")) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits", "kept_base", "kept_no_symbols", "n_alike")
 
 
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +177,9 @@ ORACLE_SQL: dict[str, str] = {
     b as (select *, (case when n_words < 10 then 1 else 0 end) + (case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end) + (case when word_chars > 25 * n_words or 2 * word_chars < 3 * n_words then 4 else 0 end)
         + (case when 10 * n_symbols > 3 * n_words then 8 else 0 end) + (case when 10 * n_dup_lines > 3 * n_lines then 16 else 0 end) as fail_bits from f)
     select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
-        cast(n_repeat_words as bigint) as n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, cast(fail_bits as bigint) as fail_bits from b""",
+        cast(n_repeat_words as bigint) as n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, cast(fail_bits as bigint) as fail_bits,
+        fail_bits & {quality.POLICIES["base"]} = 0 as kept_base, fail_bits & {quality.POLICIES["no_symbols"]} = 0 as kept_no_symbols,
+        case when bit_count(cast(fail_bits as bigint)) = 1 then count(*) over (partition by fail_bits) end as n_alike from b""",
     "op9_warc_archive": """
     with p as (select page_id, encode(coalesce(html, '')) as b from pages),
     q as (select page_id, octet_length(b) as n, sha256(b) as d, min(page_id) over (partition by sha256(b)) as first from p)
