@@ -184,11 +184,12 @@ def ancestors(path: Column) -> Column:
 
 
 def scan(files: DataFrame, templates=TEMPLATES, *, path_col: str = "path", text_col: str = "text", least: float = LEAST, share: float = SHARE) -> DataFrame:
-    """The rows' other columns apart from the text, with path, license, score, origin (own, inherited, none) and licensed_dir."""
-    rest = [c for c in files.columns if c not in (path_col, text_col)]
+    """The rows' other columns apart from the text, with path, license, score, origin (own, inherited, none) and licensed_dir; input
+    columns of these names are replaced.  Rows are told apart by 128 bits of hash, and rows alike in all columns share a verdict."""
+    rest = [c for c in files.columns if c not in (path_col, text_col) and c.lower() not in ("path", "license", "score", "origin", "licensed_dir")]
     names = [f"c{i}" for i in range(len(rest))]  # inside, so that no column of theirs meets one of ours
     rows = files.select(*(F.col(c).alias(n) for c, n in zip(rest, names)), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    rows = units_of(rows).withColumn("key", F.xxhash64("path", "text", *names))
+    rows = units_of(rows).withColumn("key", F.struct(F.xxhash64("path", "text", *names).alias("a"), F.xxhash64(F.lit(1), "text", "path", *names).alias("b")))
     n_words = F.size(F.regexp_extract_all(F.col("text"), F.lit(r"\S+"), F.lit(0)))
     carry = rows.where(F.size("units") > 0).select("key", "path", n_words.alias("n_words"), F.explode("units").alias("unit"))
     units = stored(carry.dropDuplicates(["key", "unit"]), "license-lines")

@@ -124,7 +124,7 @@ def build_index(docs: DataFrame, trigrams: list[str], *, id_col: str = "doc_id",
     """Postings: trigram, block (id div 64), bits (bit id mod 64); written sorted by trigram, so a query reads only its own."""
     if not trigrams:
         return docs.sparkSession.createDataFrame([], "trigram string, block long, bits long")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.shiftright(F.col(id_col).cast("long"), 6).alias("block"), F.expr(f"shiftleft(1L, cast(pmod({id_col}, 64) as int))").alias("bit"), F.lower(text_col).alias("low"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.shiftright(F.col(id_col).cast("long"), 6).alias("block"), F.expr("shiftleft(1L, cast(pmod(cast(`%s` as bigint), 64) as int))" % id_col.replace("`", "``")).alias("bit"), F.lower(text_col).alias("low"))
     has = [F.bit_or(F.when(F.contains("low", F.lit(t)), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"t{k}") for k, t in enumerate(trigrams)]
     blocks = rows.groupBy("block").agg(*has)
     pairs = F.array(*(F.struct(F.lit(t).alias("trigram"), F.col(f"t{k}").alias("bits")) for k, t in enumerate(trigrams)))
