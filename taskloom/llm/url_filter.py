@@ -1,13 +1,13 @@
 """URL filter over a sorted digest array (operator 10).
 
 Entries are strings `host + path prefix` (like `example.net/en/`).  Their 64-bit xxhash keys stand sorted
-in one array that each Python worker maps into memory; a url's candidate entries (every suffix of its host
+in one file, with the strings behind them, that Spark brings to every executor and each Python worker maps into memory once; a url's candidate entries (every suffix of its host
 by labels, with every prefix of its path that has the length of some entry's path) are hashed, probed
 by one vectorised binary search a batch, and each hit is confirmed against the stored full string, so a
 collision of keys never decides.
 
 Two arrays share the code: allow/block rules, of which the longest that fits wins, and a block list of hosts for
-urls without a rule.  It is a sequence or a table (`read_hosts` reads one from a file) and is broadcast, so its size is checked
+urls without a rule.  It is a sequence or a table (`read_hosts` reads one from a file) and goes to every executor, so its size is checked
 against `most_bytes`: a larger sequence raises, of a larger table `judge_joined` makes the same rows by a join.
 
 Rows: a null url or one without `://` has empty host and path, no rule, and verdict allow; repeated
@@ -17,15 +17,16 @@ rows each get a row; an empty table gives no row; other columns are not read.
 from __future__ import annotations
 
 import mmap
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import shared_dir, small_batches
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Hosts (with all subdomains and paths) that the method blocks where no rule fits.
@@ -45,26 +46,45 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class DigestArray:
-    """Sorted 64-bit keys of byte strings, with the strings and a tag each."""
+    """Sorted 64-bit keys of byte strings, with the strings and a tag each, all in one buffer:
+
+        u64 entries | keys | u64 offset of each string and of the end | u32 tags | strings"""
 
     def __init__(self, entries: list[tuple[str, int]], hash_of=xxhash.xxh64_intdigest):
         self.hash_of = hash_of
-        keyed = sorted((hash_of(s.encode()), s, tag) for s, tag in entries)
-        self.keys = np.array([k for k, _, _ in keyed], np.uint64)
-        self.strings, self.tags = [s.encode() for _, s, _ in keyed], [t for _, _, t in keyed]
+        keyed = sorted((hash_of(s.encode()), s.encode(), tag) for s, tag in entries)
+        ends = np.cumsum([0, *(len(s) for _, s, _ in keyed)]).astype("<u8")
+        parts = (np.array([len(keyed)], "<u8"), np.array([k for k, _, _ in keyed], "<u8"), ends, np.array([t for _, _, t in keyed], "<u4"))
+        self._read(b"".join([*(p.tobytes() for p in parts), *(s for _, s, _ in keyed)]))
+
+    @classmethod
+    def over(cls, buffer, hash_of=xxhash.xxh64_intdigest) -> DigestArray:
+        """The array that a buffer (like a mapped file) holds."""
+        out = cls.__new__(cls)
+        out.hash_of = hash_of
+        out._read(buffer)
+        return out
+
+    def _read(self, buffer) -> None:
+        self.buffer, n = buffer, int(np.frombuffer(buffer, "<u8", 1)[0])
+        self.keys = np.frombuffer(buffer, "<u8", n, 8)
+        self.ends = np.frombuffer(buffer, "<u8", n + 1, 8 + 8 * n)
+        self.tags = np.frombuffer(buffer, "<u4", n, 16 + 16 * n)
+        self.first = 16 + 20 * n
 
     @property
     def nbytes(self) -> int:
-        return self.keys.nbytes + sum(map(len, self.strings)) + 8 * len(self.tags)
+        """Bytes of the entries; an empty array has none."""
+        return len(self.buffer) - 16
 
     def mapped(self) -> DigestArray:
-        """This array with its keys in a memory-mapped file, which has no name left once it is open."""
-        if len(self.keys):
-            with tempfile.TemporaryFile() as f:
-                f.write(self.keys.tobytes())
-                f.flush()
-                self.keys = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.uint64)
-        return self
+        """This array over a memory map of its own."""
+        m = mmap.mmap(-1, len(self.buffer))
+        m.write(self.buffer)
+        return DigestArray.over(m, self.hash_of)
+
+    def string(self, i: int) -> bytes:
+        return self.buffer[self.first + int(self.ends[i]) : self.first + int(self.ends[i + 1])]
 
     def probe(self, strings: list[bytes]) -> list[int | None]:
         """The tag of each string, None where it isn't an entry."""
@@ -78,12 +98,39 @@ class DigestArray:
             for j in range(int(at[i]), len(self.keys)):  # equal keys stand side by side
                 if self.keys[j] != wanted[i]:
                     break
-                if self.strings[j] == strings[i]:
-                    out[i] = self.tags[j]
+                if self.string(j) == strings[i]:
+                    out[i] = int(self.tags[j])
                     break
         return out
 
 
+def ship(spark: SparkSession, array: DigestArray) -> str:
+    """Writes an array to the shared folder and has Spark bring the file to every executor; returns its name there."""
+    name = f"digests-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    for i in range(0, len(array.buffer), 8 << 20):
+        out.write(bytearray(array.buffer[i : i + (8 << 20)]))
+    out.close()
+    spark.sparkContext.addFile(path)
+    return name
+
+
+_mapped: dict[str, DigestArray] = {}
+
+
+def mapped_file(name: str) -> DigestArray:
+    """The array of a shipped file, memory-mapped once a Python worker; all workers of a machine share its pages."""
+    if name not in _mapped:
+        while len(_mapped) > 3:
+            _mapped.pop(next(iter(_mapped)))
+        with open(SparkFiles.get(name), "rb") as f:
+            _mapped[name] = DigestArray.over(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    return _mapped[name]
+
+
 def suffixes(host: str) -> list[str]:
     """The host and its parents, longest first."""
     labels = host.split(".")
@@ -115,10 +162,10 @@ def judge(pages: DataFrame, rules=RULES, block_hosts=BLOCK_HOSTS, *, id_col: str
     if rule_array.nbytes + host_array.nbytes > most_bytes:
         raise ValueError(f"the lists have {rule_array.nbytes + host_array.nbytes} bytes, more than most_bytes; use judge_joined")
     lengths = sorted({len(r) - r.index("/") for _, r in rules}, reverse=True)
-    sent = spark.sparkContext.broadcast((rule_array, host_array))
+    rule_file, host_file = ship(spark, rule_array), ship(spark, host_array)
 
     def run(batches):
-        by_rule, by_host = (a.mapped() for a in sent.value)
+        by_rule, by_host = mapped_file(rule_file), mapped_file(host_file)
         for batch in batches:
             hosts, paths, probes, of, parents, of_parent = [], [], [], [], [], []
             for i, url in enumerate(batch.column(1).to_pylist()):
@@ -139,7 +186,7 @@ def judge(pages: DataFrame, rules=RULES, block_hosts=BLOCK_HOSTS, *, id_col: str
             for i, tag in zip(of, by_rule.probe(probes)):
                 if tag is not None and len(rules[tag][1]) > len(best.get(i, "")):
                     kind[i], best[i] = rules[tag]
-            listed = {i: block_hosts[tag] for i, tag in zip(of_parent, by_host.probe(parents)) if tag is not None and i not in best}
+            listed = {i: tail.decode() for i, tail, tag in zip(of_parent, parents, by_host.probe(parents)) if tag is not None and i not in best}
             n = batch.num_rows
             yield pa.RecordBatch.from_pydict({
                 "page_id": batch.column(0), "host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()),
