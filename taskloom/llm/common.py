@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.sources.shared import drop_stored, shared_dir, stored  # noqa: F401
-from taskloom.sources.tables import estimated_bytes
+from taskloom.sources.tables import bounded, estimated_bytes
 
 #: A word is a run of anything but ASCII white space; the same set that bytes.split() cuts at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,16 @@ def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES, most: int = 100_000)
     return own if size >= 1 << 50 else max(own, min(-(-size // task_bytes), most))
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], hot: int) -> DataFrame:
+    """rows with the facts of their keys (a stored table, one row a key, n: the key's rows).
+
+    Rows of a key with more than `hot` ones get theirs by a broadcast and stay where they are, if the facts of all such keys pass the check of size; there are
+    fewer of them than rows / hot.  The other rows are joined by shuffle.  The input is read twice, so it should be a stored table or a plain scan."""
+    frequent = facts.where(F.col("n") > hot)
+    rest = rows.join(bounded(frequent.select(*keys)), keys, "left_anti")
+    return rows.join(bounded(frequent), keys).unionByName(rest.join(facts.where(F.col("n") <= hot), keys))
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()

@@ -15,6 +15,9 @@ pairs that fail it are never rows; no pair that could be a link is left out.  Ev
 shingle sets, and components come from an iterated minimum over links with pointer jumping.  Tables between the steps
 are written to the shared folder.
 
+Sets are of 64-bit hashes of shingles: two of a pair's s shingles share one with a probability of about s**2 / 2**65, which can
+only matter to a pair on the border.
+
 Rows: without text or words the set is empty and links with nothing; a null id links with nothing, has a null
 component and is kept; rows that repeat an id are one node; ties go to the smallest id; an empty table gives no row;
 extra columns are not read.

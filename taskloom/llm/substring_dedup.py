@@ -16,10 +16,11 @@ cut by content instead, so that a document meets only the shards that can hold i
    state of the last `window` words, whose smallest id says whether an earlier document has the window.
 4. An anchor with more than `hot` distinct segments (a passage that a large part of all documents cites in different
    surroundings) would make one shard too large: its windows are split by the 128-bit hash of the whole window instead
-   and summed to the smallest id on the map side.
+   and summed to the smallest id on the map side; the smallest ids of very frequent windows go to their rows by broadcast.
 5. Spans go back to their documents, and the words are cut out.
 
-Segments are keyed by 128 bits of hash (anchor and content).  Rows: a null or empty text has no words; a null id is
+Segments are keyed by 128 bits of hash (anchor and content) over 64-bit word hashes: two segments of n are taken for one with a
+probability of about n**2 / 2**129, and that two of the v distinct words of a corpus share a hash has v**2 / 2**65.  Rows: a null or empty text has no words; a null id is
 neither reference nor trimmed; rows that repeat an id don't repeat each other (no id is smaller) but both count
 against larger ids; of equal texts the smallest id stays whole; an empty table gives no row; extra columns
 are not read.  A document of any length is cut into segments of at most 64 windows.
@@ -36,9 +37,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, small_batches, stored, texts_of
+from .common import keyed, small_batches, stored, tasks_for, texts_of, with_facts
 
-WINDOW, GRAM, HOT, SHARD_WORDS, MOST_RUN = 50, 10, 400, 150_000, 64
+WINDOW, GRAM, HOT, SHARD_WORDS, MOST_RUN, FREQUENT = 50, 10, 400, 150_000, 64, 2_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -221,12 +222,12 @@ def by_automata(words: DataFrame, window: int, shard_words: int) -> DataFrame:
             yield judged(shard)
 
     dealt = words.where("not hot").select("h", "c", "first", "words")
-    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "h long, c long, again array<struct<a:int,b:int>>")
+    return dealt.repartition(tasks_for(words), "h").sortWithinPartitions("h").mapInArrow(run, "h long, c long, again array<struct<a:int,b:int>>")
 
 
-def by_windows(words: DataFrame, window: int) -> DataFrame:
-    """The same for the segments of hot anchors, by 128-bit hashes of whole windows."""
+def by_windows(words: DataFrame, window: int, frequent: int = FREQUENT) -> DataFrame:
+    """The same for the segments of hot anchors, by 128-bit hashes of whole windows; what is known of a window that more than
+    `frequent` segments have goes to them by broadcast."""
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
@@ -239,8 +240,10 @@ def by_windows(words: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["h", "c", "first", "i", "w1", "w2"])
 
     rows = words.where("hot").select("h", "c", "first", "words").mapInArrow(run, "h long, c long, first long, i int, w1 long, w2 long")
-    least = rows.groupBy("w1", "w2").agg(F.min("first").alias("m"))
-    again = rows.join(least, ["w1", "w2"]).where("m < first")
+    rows = stored(rows, "windows")
+    # a window that one segment alone has is no repeat
+    least = stored(rows.groupBy("w1", "w2").agg(F.min("first").alias("m"), F.max("first").alias("x"), F.count("*").alias("n")).where("m < x").drop("x"), "window-firsts")
+    again = with_facts(rows, least, ["w1", "w2"], frequent).where("m < first")
     return again.groupBy("h", "c").agg(F.collect_list(F.struct(F.col("i").alias("a"), F.col("i").alias("b"))).alias("again"))
 
 

@@ -24,9 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskloom.sources.tables import bounded
-
-from .common import shared_dir, stored, tasks_for
+from .common import shared_dir, stored, tasks_for, with_facts
 
 LEAST, HOT = 100, 20_000
 DATE = "2024-01-01T00:00:00Z"
@@ -39,13 +37,6 @@ def bucketed(df: DataFrame, name: str, n: int) -> DataFrame:
     return spark.table(table)
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, hot: int) -> DataFrame:
-    """rows with the facts of their digest (stored, one row a digest, n: its rows); the rows of a very frequent one are not shuffled."""
-    frequent = bounded(facts.where(F.col("n") > hot))
-    rest = rows.join(bounded(facts.where(F.col("n") > hot).select("digest")), "digest", "left_anti")
-    return rows.join(frequent, "digest").unionByName(rest.join(facts.where(F.col("n") <= hot), "digest"))
-
-
 def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, date: str = DATE, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(headers, payloads), both written to the shared folder."""
     payload = F.coalesce(F.encode(F.col(html_col).cast("string"), "UTF-8"), F.lit(b""))
@@ -53,7 +44,7 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "length": F.octet_length("payload").cast("long")})
     # digests and ids only; summed on the map side, so a payload that a third of the pages share is a row a task
     first = stored(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "warc-first")
-    joined = with_facts(rows.drop("payload"), first, hot)
+    joined = with_facts(rows.drop("payload"), first, ["digest"], hot)
     revisit = (F.col("length") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     # urls come from the open web: a line break in one must not start a new header line
     url = F.coalesce("url", F.lit(""))
@@ -124,4 +115,4 @@ def read_archive(headers: DataFrame, payloads: DataFrame, *, hot: int = HOT) ->
     revisits = fields_of(headers.where("revisit").select("header")).drop("header")
     counts = revisits.groupBy("digest").agg(F.count("*").alias("n"))
     facts = stored(responses.select("digest", "payload_bytes", "payload_digest").join(counts, "digest").dropDuplicates(["digest"]), "warc-facts")
-    return responses.drop("digest").unionByName(with_facts(revisits, facts, hot).drop("digest", "n"))
+    return responses.drop("digest").unionByName(with_facts(revisits, facts, ["digest"], hot).drop("digest", "n"))
