@@ -47,7 +47,7 @@ def shard_of(name: Column, path: Column, world: int, factor: int | None = None)
     return F.coalesce(own, F.pmod(folded_hash(path), F.lit(world))).cast("int")
 
 
-def uniform(*keys: Column, seed: int = 0) -> Column:
+def uniform(*keys: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the keys and the seed only; in place of a random stream."""
-    digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+    digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys)))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)

@@ -42,7 +42,7 @@ def overlay(frames: DataFrame, annotations: dict[str, tuple[DataFrame, list[str]
 
 
 def composite(frames: DataFrame) -> DataFrame:
-    """Adds ecot: for finished frames the sub-task alone, else all of sub_task, cot, bboxes and plan, or null if one lacks."""
+    """Adds composite: for finished frames the sub-task alone, else all of sub_task, cot, bboxes and plan, or null if one lacks."""
     done = F.col("sub_task") == "done"
     parts = [F.col(c) for c in ("sub_task", "cot", "bboxes", "plan")]
     whole = parts[0].isNotNull()
@@ -50,7 +50,7 @@ def composite(frames: DataFrame) -> DataFrame:
         whole = whole & p.isNotNull()
     none = [F.lit(None).cast(frames.schema[c].dataType).alias(c) for c in ("cot", "bboxes", "plan")]
     some = [F.col(c).alias(c) for c in ("cot", "bboxes", "plan")]
-    return frames.withColumn("ecot", F.when(done, F.struct(F.lit(True).alias("finished"), F.col("sub_task"), *none)).when(whole, F.struct(F.lit(False).alias("finished"), F.col("sub_task"), *some)))
+    return frames.withColumn("composite", F.when(done, F.struct(F.lit(True).alias("finished"), F.col("sub_task"), *none)).when(whole, F.struct(F.lit(False).alias("finished"), F.col("sub_task"), *some)))
 
 
 def resolve_refs(rows: DataFrame, keys: list[str], *, frame: str = "frame_id", ref: str = "ref", payload: list[str]) -> DataFrame:

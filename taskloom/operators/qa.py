@@ -75,6 +75,32 @@ def segment_qa(frames: DataFrame, ep: list[str], *, low: int = 32, high: int = 9
     return rows.select(*ep, F.transform("ids", lambda i: tx.image_path(folder, i)).alias("image"), conversation(F.concat(marks, tx.filled(prompt, task=F.col("task"))), F.col("answer")).alias("conversations"))
 
 
+def segment_extras(frames: DataFrame, ep: list[str], *, whole: tuple[int, int] = (32, 96), part: tuple[int, int] = (16, 64), seed: int = 0, prompt: str = PROMPTS["a2"], root: str = "images") -> DataFrame:
+    """By hash no extra question for an episode, one over all of it, or two over ranges of its real sub-task runs (i to j, without
+    the range of all); each asks for the actions of evenly stepped frames, numbered by sample.  Adds the range: extra, start, end (exclusive)."""
+    keys = [F.col(c) for c in ep]
+    draw = F.floor(uniform(*keys, F.lit("a2"), seed=seed) * 3)
+    real = sq.runs(frames, ep, "sub_task").where(sq.is_real(F.col("sub_task"))).groupBy(*ep).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("real"))
+    episodes = frames.groupBy(*ep).agg(F.count("*").alias("n")).join(real, ep).withColumn("_k", draw)
+    last = F.size("real") - 1
+    ends = lambda i: F.transform(F.sequence(i, last), lambda j: F.struct(uniform(*keys, F.lit("pair"), i, j, seed=seed).alias("u"), i.alias("i"), j.alias("j")))
+    pairs = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), last), ends)), lambda p: ~((p["i"] == 0) & (p["j"] == last)))
+    chosen = F.transform(F.slice(F.array_sort(pairs), 1, 2), lambda p: F.struct(F.get("real", p["i"])["start"].alias("start"), F.get("real", p["j"])["end"].alias("end"), F.lit(part[0]).alias("low"), F.lit(part[1]).alias("high")))
+    all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.lit(whole[0]).alias("low"), F.lit(whole[1]).alias("high")))
+    pieces = episodes.select(*ep, F.posexplode(F.when(F.col("_k") == 1, all_).when(F.col("_k") == 2, chosen)).alias("extra", "p")).select(*ep, "extra", "p.*")
+    most = F.col("low") + F.floor(uniform(*keys, "extra", F.lit("most"), seed=seed) * (F.col("high") - F.col("low") + 1))
+    pieces = pieces.withColumn("_step", F.greatest(F.ceil((F.col("end") - F.col("start")) / most.cast("double")), F.lit(1)).cast("long")).drop("low", "high")
+    inside = (F.col("frame_id") >= F.col("start")) & (F.col("frame_id") < F.col("end")) & (F.pmod(F.col("frame_id") - F.col("start"), F.col("_step")) == 0)
+    picked = frames.select(*ep, "frame_id", "sub_task").join(pieces, ep).where(inside).withColumn("sample", F.floor((F.col("frame_id") - F.col("start")) / F.col("_step")))
+    of = [*ep, "extra"]
+    runs = sq.runs(picked.select(*of, "sample", "sub_task"), of, "sub_task", by="sample").where(sq.is_real(F.col("sub_task")))
+    answers = runs.groupBy(*of).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("start", "end", "sub_task"))), lambda s: F.struct(s["sub_task"].alias("action_description"), s["start"].alias("start_frame"), (s["end"] - 1).alias("end_frame")))).alias("answer"))
+    rows = picked.groupBy(*of, "start", "end").agg(F.sort_array(F.collect_list("frame_id")).alias("ids")).join(answers, of)
+    marks = F.array_join(F.transform("ids", lambda x, i: F.concat(F.lit("<frame "), i.cast("string"), F.lit(">\n<image>\n"))), "")
+    folder = F.concat_ws("/", F.lit(root), *(F.col(c).cast("string") for c in ep))
+    return rows.select(*of, "start", "end", F.transform("ids", lambda i: tx.image_path(folder, i)).alias("image"), conversation(F.concat(marks, F.lit(prompt)), F.col("answer")).alias("conversations"))
+
+
 def _sampled(frames: DataFrame, ep: list[str], progress: str, *, skip: float, finished_most: int, seed: int, salt: str) -> DataFrame:
     """Frames left by the skip ratio, with at most so many finished ones an episode (chosen by hash)."""
     key = [F.col(c) for c in [*ep, "frame_id"]]
@@ -390,6 +416,28 @@ def messages(text: Column, media: Column, mark: str = "<image>") -> Column:
     return F.when(F.size(pieces) - 1 == F.size(media), kept)
 
 
+def chat_messages(conversations: Column, images: Column, videos: Column) -> Column:
+    """array<struct<role, content: array<struct<type, value>>>> of turns (struct<from, value>): a human turn's text is parted at each
+    <image> and <video>, which take the next image or video of the row; other turns are one text.  More or fewer marks than media raise."""
+    parts = lambda t: F.split(F.regexp_replace(t, "(<image>|<video>)", "\u0000$1\u0000"), "\u0000", -1)
+    human = lambda c: c["from"] == "human"
+    asked = lambda turns: F.flatten(F.transform(F.filter(turns, human), lambda c: parts(c["value"])))
+    count = lambda xs, mark: F.size(F.filter(xs, lambda s: s == mark))
+    media = {"image": F.coalesce(images, F.array().cast("array<string>")), "video": F.coalesce(videos, F.array().cast("array<string>"))}
+    one = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+
+    def content(c, i):
+        before, own = asked(F.slice(conversations, F.lit(1), i)), parts(c["value"])
+        nth = lambda kind, k: F.get(media[kind], count(before, f"<{kind}>") + count(F.slice(own, F.lit(1), k), f"<{kind}>"))
+        pieces = F.transform(own, lambda s, k: F.when(s == "<image>", one("image", nth("image", k))).when(s == "<video>", one("video", nth("video", k))).otherwise(one("text", tx.stripped(s))))
+        return F.filter(pieces, lambda p: (p["type"] != "text") | (p["value"] != ""))
+
+    turn = lambda c, i: F.struct(F.when(human(c), "user").otherwise("assistant").alias("role"), F.when(human(c), content(c, i)).otherwise(F.array(one("text", c["value"]))).alias("content"))
+    fits = (count(asked(conversations), "<image>") == F.size(media["image"])) & (count(asked(conversations), "<video>") == F.size(media["video"]))
+    kind = "array<struct<role:string,content:array<struct<type:string,value:string>>>>"
+    return F.when(fits, F.transform(conversations, turn)).otherwise(F.raise_error(F.lit("the marks and the media of a row differ in number")).cast(kind))
+
+
 def without_deleted(segments: DataFrame, desc: str = "desc") -> DataFrame:
     """Segments that are not marked to be deleted."""
     return segments.where(F.trim(desc) != "/delete")

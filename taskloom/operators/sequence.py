@@ -6,12 +6,17 @@ partitioned by the sequence, so its size is that of one episode.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taskloom.functions.hashing import uniform
 from taskloom.functions.text import NOT_ACTIONS
 
 
+_ALL_BITS = (1 << 64) - 1
+
+
 def ordered(ep: list[str], by: str = "frame_id"):
     return Window.partitionBy(*ep).orderBy(by)
 
@@ -139,31 +144,41 @@ def previous_frames(current: Column, draw: Column, alone: float = 0.3, low: int
     return F.when(draw < alone, F.array(current)).otherwise(F.sequence(F.greatest(current - n, F.lit(0)), current))
 
 
-def run_tails(frames: DataFrame, ep: list[str], value: str, *, share: float = 0.25, by: str = "frame_id") -> DataFrame:
-    """The last max(1, share of its length) frames of each run."""
+def run_tails(frames: DataFrame, ep: list[str], value: str, *, share: float = 0.25, most: int | None = None, seed: int = 0, by: str = "frame_id") -> DataFrame:
+    """The last max(1, share of its length) frames of each run; with `most`, at most so many of them, by hash order."""
     rows = islands(frames, ep, value, by=by, name="_run")
     w = Window.partitionBy(*ep, "_run")
     kept = F.greatest(F.lit(1), F.floor(F.count("*").over(w) * share))
-    return rows.withColumn("_from", F.count("*").over(w) - kept).withColumn("_at", F.row_number().over(w.orderBy(by)) - 1).where("_at >= _from").drop("_run", "_from", "_at")
+    rows = rows.withColumn("_from", F.count("*").over(w) - kept).withColumn("_at", F.row_number().over(w.orderBy(by)) - 1).where("_at >= _from")
+    if most is not None:
+        rows = rows.withColumn("_i", F.row_number().over(w.orderBy(uniform(*map(F.col, [*ep, by]), seed=seed), by))).where(F.col("_i") <= most).drop("_i")
+    return rows.drop("_run", "_from", "_at")
 
 
 def keyframes(frames: DataFrame, ep: list[str], *, text: str = "task_description", code: str = "phash", similarity: float = 0.99, by: str = "frame_id") -> DataFrame:
     """Adds `ref`: null for a kept frame, else the last kept frame, which has the same text and a perceptual hash
     (64-bit) more similar than the threshold.
 
-    Whether a frame is kept depends on the last kept one, so it is a fold over the episode's ordered frames."""
-    one = F.struct(F.col(by).alias("f"), F.col(text).alias("t"), F.col(code).alias("h"))
-    rows = frames.groupBy(*ep).agg(F.sort_array(F.collect_list(one)).alias("all"))
-    kind = "struct<f:bigint,t:string,h:bigint>"
-    start = F.struct(F.lit(None).cast(kind).alias("kept"), F.array().cast("array<struct<f:bigint,ref:bigint>>").alias("out"))
-
-    def step(a, x):
-        alike = a["kept"].isNotNull() & a["kept"]["t"].eqNullSafe(x["t"]) & (1 - F.bit_count(a["kept"]["h"].bitwiseXOR(x["h"])) / F.lit(64.0) > similarity)
-        same = F.coalesce(alike, F.lit(False))
-        new = F.struct(x["f"].cast("bigint").alias("f"), F.when(same, a["kept"]["f"]).alias("ref"))
-        return F.struct(F.when(same, a["kept"]).otherwise(x.cast(kind)).alias("kept"), F.concat(a["out"], F.array(new)).alias("out"))
-
-    refs = rows.select(*ep, F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("o")).select(*ep, F.col("o.f").alias(by), F.col("o.ref").alias("ref"))
+    Whether a frame is kept depends on the last kept one, so it is a fold over the episode's ordered frames, in one pass of Arrow."""
+    one = F.struct(F.col(by).cast("long").alias("f"), F.col(text).alias("t"), F.col(code).cast("long").alias("h"))
+    lists = frames.groupBy(*ep).agg(F.sort_array(F.collect_list(one)).alias("_all"))
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+
+    def run(batches):
+        for batch in batches:
+            refs = []
+            for rows in batch.column(len(ep)).to_pylist():
+                kept, out = None, []
+                for x in rows:
+                    same = kept is not None and kept["t"] == x["t"] and None not in (kept["h"], x["h"]) and 1 - ((kept["h"] ^ x["h"]) & _ALL_BITS).bit_count() / 64.0 > similarity
+                    out.append({"f": x["f"], "ref": kept["f"] if same else None})
+                    kept = kept if same else x
+                refs.append(out)
+            kind = pa.list_(pa.struct([("f", pa.int64()), ("ref", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(ep)], pa.array(refs, kind)], names=[*ep, "_refs"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ep) + ", _refs array<struct<f:bigint,ref:bigint>>"
+    refs = lists.mapInArrow(run, schema).select(*ep, F.explode("_refs").alias("o")).select(*ep, F.col("o.f").cast(kinds[by]).alias(by), F.col("o.ref").alias("ref"))
     return frames.join(refs, [*ep, by])
 
 

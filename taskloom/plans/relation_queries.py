@@ -36,7 +36,7 @@ def j2_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {FRAMES} select episode, frame_id, case when sub_task = 'done' then true when k >= 20 then false end as finished, case when sub_task <> 'done' and k >= 20 then cast(k as varchar) end as cot from fr")
 def j4_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = base.frames(spark, sf_dir).withColumns({"cot": F.when(F.col("k") >= 20, F.col("k").cast("string")), "bboxes": F.array(F.lit(1)), "plan": F.array("task")})
-    return joins.composite(f).select("episode", "frame_id", "ecot.finished", F.col("ecot.cot").alias("cot"))
+    return joins.composite(f).select("episode", "frame_id", "composite.finished", F.col("composite.cot").alias("cot"))
 
 
 @query(f"""with recursive {FRAMES}, x as (select episode, frame_id, case when event_id % 3 <> 0 and frame_id > 0 then frame_id - 1 when frame_id = 0 and episode % 5 = 0 then 100000 end as ref, value from fr),
@@ -293,6 +293,21 @@ def t1_segment_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("episode", F.size("image").cast("long").alias("images"), F.substring(answer, F.lit(2), F.length(answer) - 2).alias("answer"))
 
 
+@query(f"""with {FRAMES}, n as (select episode, count(*) as n, cast(floor({_U('episode', chr(39) + 'a2' + chr(39))} * 3) as integer) as k from fr group by episode), h as (select *, lag(sub_task) over (partition by episode order by frame_id) as b from fr),
+    s as (select *, sum(case when frame_id > 0 and b = sub_task then 0 else 1 end) over (partition by episode order by frame_id) as run from h), r as (select episode, row_number() over (partition by episode order by min(frame_id)) - 1 as i, min(frame_id) as a, max(frame_id) + 1 as z, count(*) over (partition by episode) as m from s where sub_task <> 'done' group by episode, run),
+    pr as (select x.episode, x.a, y.z, row_number() over (partition by x.episode order by {_U('x.episode', chr(39) + 'pair' + chr(39), 'x.i', 'y.i')}, x.i, y.i) - 1 as extra from r x join r y on x.episode = y.episode and x.i <= y.i where not (x.i = 0 and y.i = x.m - 1)),
+    e as (select n.episode, 0 as extra, 0 as a, n as z, 8 as low, 16 as high from n where k = 1 and episode in (select episode from r) union all select episode, extra, a, z, 4, 9 from pr join n using (episode) where k = 2 and extra < 2),
+    st as (select *, greatest(1, ceil((z - a) / (low + floor({_U('episode', 'extra', chr(39) + 'most' + chr(39))} * (high - low + 1)))::double))::bigint as st from e),
+    p as (select st.episode, extra, a, z, (frame_id - a) // st as j, sub_task from st join fr on fr.episode = st.episode and frame_id >= a and frame_id < z and (frame_id - a) % st = 0), c as (select episode, extra, a, z, count(*) as images from p group by all),
+    q as (select *, lag(sub_task) over (partition by episode, extra order by j) as b from p), g as (select *, sum(case when j > 0 and b = sub_task then 0 else 1 end) over (partition by episode, extra order by j) as run from q),
+    o as (select episode, extra, sub_task, min(j) as f, max(j) as l from g where sub_task <> 'done' group by episode, extra, run, sub_task)
+    select episode, cast(extra as integer) as extra, cast(a as bigint) as start, cast(z as bigint) as "end", images, string_agg('{{"action_description":"' || sub_task || '","start_frame":' || f || ',"end_frame":' || l || '}}', ',' order by f) as answer from c join o using (episode, extra) group by all""")
+def t1_segment_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = qa.segment_extras(_qa_frames(spark, sf_dir), ["episode"], whole=(8, 16), part=(4, 9))
+    answer = F.get("conversations", F.lit(1))["value"]
+    return rows.select("episode", "extra", "start", "end", F.size("image").cast("long").alias("images"), F.substring(answer, F.lit(2), F.length(answer) - 2).alias("answer"))
+
+
 _END = f"""{FRAMES}, en as (select *, count(*) over (partition by episode) as n, case when frame_id = count(*) over (partition by episode) - 1 then 1.0 else frame_id / (count(*) over (partition by episode))::double end as pf from fr)"""
 
 

@@ -151,6 +151,12 @@ def w15_run_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.run_tails(base.frames(spark, sf_dir), EP, "sub_task").select("episode", "frame_id", "sub_task")
 
 
+@query(f"""with {FRAMES}, {_islands('sub_task')}, c as (select *, count(*) over (partition by episode, run) as n, row_number() over (partition by episode, run order by frame_id) - 1 as i from s_run),
+    t as (select *, row_number() over (partition by episode, run order by {base.uniform_sql('episode', 'frame_id')}, frame_id) as place from c where i >= n - greatest(1, floor(n * 0.2))) select episode, frame_id, sub_task from t where place <= 5""")
+def w15_sampled_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.run_tails(base.frames(spark, sf_dir), EP, "sub_task", share=0.2, most=5).select("episode", "frame_id", "sub_task")
+
+
 @query(f"""with recursive {FRAMES}, f as (select episode, frame_id, sub_task as t, (event_id * 2654435761) % 4294967296 & 15 as h from fr),
     r as (select episode, frame_id, cast(null as bigint) as ref, frame_id as kf, t as kt, h as kh from f where frame_id = 0
     union all select f.episode, f.frame_id, case when f.t = kt and 1 - bit_count(xor(f.h, kh)) / 64.0 > 0.97 then kf end, case when f.t = kt and 1 - bit_count(xor(f.h, kh)) / 64.0 > 0.97 then kf else f.frame_id end,

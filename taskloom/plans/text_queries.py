@@ -201,6 +201,17 @@ def p15_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.when(m.isNotNull(), F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["type"], x["value"])), "|")).alias("m"))
 
 
+@query("""select doc_id, 'user text=look image=a' || doc_id || ' text=and video=v text=at ' || doc_id || ' image=b|assistant text= yes <image> |user video=w' as said from documents""")
+def p15_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with roles, images and videos; marks in an answer stay text."""
+    s = F.col("doc_id").cast("string")
+    turn = lambda who, v: F.struct(F.lit(who).alias("from"), v.alias("value"))
+    talk = F.array(turn("human", F.concat(F.lit("look <image>\n and <video>at "), s, F.lit(" <image>"))), turn("gpt", F.lit(" yes <image> ")), turn("human", F.lit("<video>\n")))
+    m = qa.chat_messages(talk, F.array(F.concat(F.lit("a"), s), F.lit("b")), F.array(F.lit("v"), F.lit("w")))
+    said = F.transform(m, lambda x: F.concat(x["role"], F.lit(" "), F.array_join(F.transform(x["content"], lambda c: F.concat(c["type"], F.lit("="), c["value"])), " ")))
+    return base.table(spark, sf_dir, "documents").select("doc_id", F.array_join(said, "|").alias("said"))
+
+
 @query(r"""select conv_id, cast(21 + sum(len(regexp_extract_all(text, '\S+'))) + 36 as bigint) as tokens, cast(sum(len(regexp_extract_all(text, '\S+'))) + 128 as bigint) as length, cast(-sum(len(regexp_extract_all(text, '\S+'))) as bigint) as modal from conversations group by conv_id""")
 def t11_t13_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = base.table(spark, sf_dir, "conversations")

@@ -199,3 +199,17 @@ def test_repeated_and_late_frames_leave_no_state(spark, tmp_path):
     stream = spark.readStream.schema("episode long, frame_id long, parsed_progress double").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     run_available(progress_stream(stream), str(tmp_path / "out"), str(tmp_path / "check"))
     assert [r["frame_id"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("frame_id").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_chat_messages(spark):
+    kind = "conversations array<struct<from:string,value:string>>, image array<string>, video array<string>"
+    talk = [("human", "<image>a <video>\n b"), ("gpt", "see <image> "), ("human", " <image> <image>")]
+    row = spark.createDataFrame([(talk, ["i1", "i2", "i3"], ["v"])], kind).select(qa.chat_messages(F.col("conversations"), F.col("image"), F.col("video")).alias("m")).first()["m"]
+    assert [(t["role"], [tuple(c) for c in t["content"]]) for t in row] == [
+        ("user", [("image", "i1"), ("text", "a"), ("video", "v"), ("text", "b")]), ("assistant", [("text", "see <image> ")]), ("user", [("image", "i2"), ("image", "i3")]),
+    ]
+    none = spark.createDataFrame([([("human", "hello")], None, None)], kind).select(qa.chat_messages(F.col("conversations"), F.col("image"), F.col("video")).alias("m")).first()["m"]
+    assert [tuple(c) for c in none[0]["content"]] == [("text", "hello")]
+    for images, videos in ((["i"], ["v"]), (["a", "b", "c", "d"], ["v"]), (["a", "b", "c"], [])):
+        with pytest.raises(Exception, match="marks and the media"):
+            spark.createDataFrame([(talk, images, videos)], kind).select(qa.chat_messages(F.col("conversations"), F.col("image"), F.col("video"))).collect()
