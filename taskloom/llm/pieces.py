@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SPACE = "▁"
-MEMO = 600_000
+MEMO, MOST_HELD = 600_000, 64
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -119,80 +119,58 @@ class PieceCodec:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def stream(self, texts: Iterable[str], check_every: int = 256) -> Iterator[int]:
-        """Ids of the concatenation of normalised texts; holds the lattice since the last commit only."""
-        ids_of, longest, ok = self.whole, self.longest, self.compatible
+        """Ids of the concatenation of normalised texts; holds the lattice since the last commit only.
+
+        A position is reached by a piece that ends there and stays apart from the piece before it; at most one does.  Every
+        `check_every` positions the paths of the last `longest` positions are followed back to where they meet: the ids before it
+        are final, and the lattice before it is dropped."""
+        ids_of, tails, pairs, compatible, longest = self.whole, self.tails, self.pairs, self.compatible, self.longest
         tail = ""  # characters since the commit
-        back, via = [-1], [-1]  # of each position since the commit: where its edge starts, its piece (-2: a character without one)
-        first = -1  # the piece that ends at the commit
+        back, via = [0], [-1]  # of each position since the commit: where its edge starts, its piece (-2: a character without one); via[0]: the piece before
 
-        def path(at: int) -> list[tuple[int, int]]:
-            out = []
-            while at > 0:
-                out.append((back[at], at))
+        def spelled(at: int) -> list[int]:
+            out: list[int] = []
+            while at:
+                out += [via[at]] if via[at] >= 0 else self.fallback(tail[at - 1])[::-1]
                 at = back[at]
             return out[::-1]
 
-        def spelled(edges):
-            for i, j in edges:
-                yield from [via[j]] if via[j] >= 0 else self.fallback(tail[i:j])
-
         for text in texts:
-            for char in text:
-                tail += char
-                j = len(tail)
-                back.append(-1)
-                via.append(-1)
-                for i in range(max(0, j - longest), j):
-                    piece = ids_of.get(tail[i:j])
-                    if piece is None or i and via[i] == -1:
-                        continue
-                    before = via[i] if i else first
-                    if before < 0 or ok(before, piece):
-                        back[j], via[j] = i, piece
+            for k in range(0, len(text), check_every):
+                tail += text[k : k + check_every]
+                for j in range(len(back), len(tail) + 1):
+                    edge, own = j - 1, -2
+                    for i in range(j - 1, -1, -1):
+                        part = tail[i:j]
+                        if part not in tails:
+                            break
+                        piece = ids_of.get(part)
+                        if piece is None:
+                            continue
+                        before = via[i]
+                        if before >= 0:
+                            ok = pairs.get(before << 20 | piece)
+                            if not (compatible(before, piece) if ok is None else ok):
+                                continue
+                        edge, own = i, piece
                         break
-                else:
-                    back[j], via[j] = j - 1, -2
-                if j % check_every == 0 and j > longest:
-                    alive = set(range(j - longest + 1, j + 1))
+                    back.append(edge)
+                    via.append(own)
+                if len(tail) > longest and len(tail) >= check_every:
+                    alive = set(range(len(tail) - longest + 1, len(tail) + 1))
                     while len(alive) > 1:  # follow the paths back to where they meet
                         most = max(alive)
                         alive.remove(most)
                         alive.add(back[most])
-                    meet = alive.pop()
-                    if meet > 0:
-                        yield from spelled(path(meet))
-                        first = via[meet]
-                        tail = tail[meet:]
-                        back = [-1, *(b - meet for b in back[meet + 1 :])]
-                        via = [-1, *via[meet + 1 :]]
-        yield from spelled(path(len(tail)))
+                    if meet := alive.pop():
+                        yield from spelled(meet)
+                        tail, via = tail[meet:], via[meet:]
+                        back = [0, *(b - meet for b in back[meet + 1 :])]
+        yield from spelled(len(tail))
 
     def chunk(self, text: str) -> bytes:
-        """Ids of one short chunk: the lattice of stream(), which ends before its window would be cut."""
-        ids_of, tails, pairs, compatible = self.whole, self.tails, self.pairs, self.compatible
-        n = len(text)
-        back, via = [0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            back[j], via[j] = j - 1, -2
-            for i in range(j - 1, -1, -1):
-                part = text[i:j]
-                if part not in tails:
-                    break
-                piece = ids_of.get(part)
-                if piece is None:
-                    continue
-                before = via[i]
-                if before >= 0:
-                    ok = pairs.get(before << 20 | piece)
-                    if not (compatible(before, piece) if ok is None else ok):
-                        continue
-                back[j], via[j] = i, piece
-                break
-        out: list[int] = []
-        while n:
-            out += [via[n]] if via[n] >= 0 else self.fallback(text[n - 1])[::-1]
-            n = back[n]
-        return array("I", out[::-1]).tobytes()
+        """Ids of one chunk."""
+        return array("I", self.stream([text])).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint32 bytes."""
@@ -210,8 +188,8 @@ class PieceCodec:
                 for k, ids in enumerate(held):
                     if ids is None:
                         c = chunks[k]
-                        if len(c) > 64:
-                            held[k] = array("I", self.stream([c])).tobytes()
+                        if len(c) > MOST_HELD:  # too long to be remembered
+                            held[k] = self.chunk(c)
                         elif c[-1] in marks and len(c) > 1:
                             # a closing mark is a piece of its own if it stays apart from the last piece before it
                             core = memo.get(c[:-1])
