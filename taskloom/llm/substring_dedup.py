@@ -37,7 +37,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, small_batches, stored, tasks_for, texts_of, with_facts
+from .common import drop_stored, keyed, small_batches, stored, tasks_for, texts_of, with_facts
 
 WINDOW, GRAM, HOT, SHARD_WORDS, MOST_RUN, FREQUENT = 50, 10, 400, 150_000, 64, 2_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -225,7 +225,7 @@ def by_automata(words: DataFrame, window: int, shard_words: int) -> DataFrame:
     return dealt.repartition(tasks_for(words), "h").sortWithinPartitions("h").mapInArrow(run, "h long, c long, again array<struct<a:int,b:int>>")
 
 
-def by_windows(words: DataFrame, window: int, frequent: int = FREQUENT) -> DataFrame:
+def by_windows(words: DataFrame, window: int, frequent: int = FREQUENT, stored=stored) -> DataFrame:
     """The same for the segments of hot anchors, by 128-bit hashes of whole windows; what is known of a window that more than
     `frequent` segments have goes to them by broadcast."""
     def run(batches):
@@ -250,20 +250,28 @@ def by_windows(words: DataFrame, window: int, frequent: int = FREQUENT) -> DataF
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), spans: array<struct<a, b>> of words to remove, end exclusive."""
     small_batches(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col)
-    found = stored(all_segments(rows, window, gram), "segments")
+    rows, passing = keyed(docs, id_col, text_col), []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        passing.append(stored(df, name))
+        return passing[-1]
+
+    found = kept(all_segments(rows, window, gram), "segments")
     distinct = found.groupBy("h", "c").agg(F.min(F.struct("doc_id", "th", "lo", "n")).alias("rep"), F.max("doc_id").alias("last"))
     anchors = distinct.groupBy("h").agg(F.min("rep.doc_id").alias("lo_id"), F.max("last").alias("hi_id"), F.count("*").alias("k")).where("lo_id < hi_id")
-    live = stored(distinct.join(anchors.select("h", "k"), "h").select("h", "c", "k", "rep.*"), "live")
+    live = kept(distinct.join(anchors.select("h", "k"), "h").select("h", "c", "k", "rep.*"), "live")
     wanted = live.where("k > 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "c", "lo", "n", (F.col("k") > hot).alias("hot"))).alias("segs"))
-    words = stored(segment_words(rows, stored(wanted, "wanted"), window), "segment-words")
-    again = by_automata(words, window, shard_words).unionByName(by_windows(words, window))
-    judged = stored(live.select("h", "c", F.col("doc_id").alias("first")).join(again, ["h", "c"], "left"), "judged")
+    words = kept(segment_words(rows, kept(wanted, "wanted"), window), "segment-words")
+    again = by_automata(words, window, shard_words).unionByName(by_windows(words, window, stored=kept))
+    judged = kept(live.select("h", "c", F.col("doc_id").alias("first")).join(again, ["h", "c"], "left"), "judged")
     of = found.join(judged, ["h", "c"])
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))
     cut = of.select("doc_id", "th", "lo", F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("again"))).alias("w"))
     spans = cut.select("doc_id", "th", F.struct((F.col("lo") + F.col("w.a")).alias("a"), (F.col("lo") + F.col("w.b") + window).alias("b")).alias("s"))
-    return stored(spans.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans")), "spans")
+    out = stored(spans.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans")), "spans")
+    for t in passing:  # all that was read for the spans
+        drop_stored(t)
+    return out
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, **options) -> DataFrame:
