@@ -247,7 +247,7 @@ def by_windows(words: DataFrame, window: int, frequent: int = FREQUENT, stored=s
     return again.groupBy("h", "c").agg(F.collect_list(F.struct(F.col("i").alias("a"), F.col("i").alias("b"))).alias("again"))
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, th (hash of the text), spans: array<struct<a, b>> of words to remove, end exclusive."""
     small_batches(docs.sparkSession)
     rows, passing = keyed(docs, id_col, text_col), []
@@ -262,7 +262,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     live = kept(distinct.join(anchors.select("h", "k"), "h").select("h", "c", "k", "rep.*"), "live")
     wanted = live.where("k > 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "c", "lo", "n", (F.col("k") > hot).alias("hot"))).alias("segs"))
     words = kept(segment_words(rows, kept(wanted, "wanted"), window), "segment-words")
-    again = by_automata(words, window, shard_words).unionByName(by_windows(words, window, stored=kept))
+    again = by_automata(words, window, shard_words).unionByName(by_windows(words, window, frequent, stored=kept))
     judged = kept(live.select("h", "c", F.col("doc_id").alias("first")).join(again, ["h", "c"], "left"), "judged")
     of = found.join(judged, ["h", "c"])
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))

@@ -1,13 +1,15 @@
 """Cases that a cut in an operator would leave out."""
 
+import base64
 import pkgutil
+import re
 
 import pytest
 
 import corpus_pipeline
-from taskloom.llm import decontaminate, licenses, url_filter
-from tests.llm.fixtures import documents, prose
-from tests.llm.test_operators import URLS, rows_of
+from taskloom.llm import decontaminate, licenses, secrets, substring_dedup, url_filter, warc
+from tests.llm.fixtures import documents, prose, texts
+from tests.llm.test_operators import URLS, brute_repeats, pages, rows_of
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
@@ -76,3 +78,37 @@ def test_contamination_is_independent_of_other_items_and_shards(spark):
     assert len({str(x) for x in found.values()}) == 1
     assert [r[:2] for r in found[0, 1000]] == sorted([(1, 7), (4, 7), (None, 7)], key=repr)
     assert decontaminate.contaminated(docs, bench.where("false")).collect() == []
+
+
+def test_frequent_keys_give_the_same_rows(spark):
+    """Windows and payloads that count as frequent from the second row on: their facts go by broadcast."""
+    got = substring_dedup.remove_repeats(documents(spark), hot=1, frequent=1, shard_words=300)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(texts(), 50)
+    cols = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    df = pages(spark)[1]
+    assert rows_of(warc.read_archive(*warc.write_archive(df, hot=1), hot=1), *cols) == rows_of(warc.read_archive(*warc.write_archive(df)), *cols)
+
+
+def test_records_hold_exact_urls_and_are_checked(spark):
+    urls = ["http://a/%0A", "http://a/\r\nX: y\n", None, "http://ä/?q"]
+    headers, payloads = warc.write_archive(spark.createDataFrame([(i, u, "p" * 150 + str(i)) for i, u in enumerate(urls)], "page_id long, url string, html string"))
+    for r in warc.records(headers, payloads).collect():
+        head = bytes(r["record"]).partition(b"\r\n\r\n")[0].decode()
+        exact = re.search(r"\r\nX-Target-URI-Base64: (\S+)", head)
+        shown = re.search(r"\r\nWARC-Target-URI: ([^\r]*)", head)[1]
+        assert (base64.b64decode(exact[1]).decode() if exact else shown) == (urls[r["page_id"]] or "")
+    broken = payloads.withColumn("payload", payloads["payload"].substr(1, 20))
+    with pytest.raises(Exception, match="broken WARC record"):
+        warc.read_archive(headers, broken).collect()
+    other = payloads.selectExpr("digest", "cast(repeat('q', octet_length(payload)) as binary) as payload")
+    with pytest.raises(Exception, match="payload of another digest"):
+        warc.read_archive(headers, other).collect()
+
+
+def test_columns_of_any_name(spark):
+    files = spark.createDataFrame([("/a/x", "// Released under the MIT License\n", "mine", 7), ("/a/y", "int y", None, 8)], "path string, text string, license string, score int")
+    got = licenses.scan(files)
+    assert sorted(got.columns) == ["license", "licensed_dir", "origin", "path", "score"]
+    assert rows_of(got, "path", "license", "origin") == [("/a/x", "MIT", "own"), ("/a/y", "MIT", "inherited")]
+    docs = spark.createDataFrame([(3, "token=abcdefghijklmnop")], "`my id` long, text string")
+    assert len(secrets.scan(docs, id_col="my id").first()["spans"]) == 1
