@@ -2,7 +2,7 @@
 
 The test items are the indexed side.  They are few beside the corpus; their index is built in shards of at most
 `shard_bytes` of item text, and one shard at a time is collected and broadcast, so its size is bounded whatever the size
-of the benchmark (an index takes about 30 times its items' text in a Python worker).  Every passage of every document is a query.
+of the benchmark (an index takes about 60 times its items' text in a Python worker).  Every passage of every document is a query.
 Passages are windows over the whole text, half overlapping; an item meets those of its own length class (the next power of two,
 LEAST_WINDOW at least, twice that wide), so any copy of it lies within one, and neither other items nor the shards change
 what is found.  An item's impacts are divided by the score the item has against itself, so a score
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import math
+from array import array
 from bisect import bisect_left
 from collections import Counter
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored
 
 THRESHOLD, OVERLAP, K1, B, BLOCK = 0.5, 0.5, 1.2, 0.75, 32
-LEAST_WINDOW, SHARD_BYTES, VOCABULARY_BYTES, COMMON = 64, 4 << 20, 16 << 20, 0.3
+LEAST_WINDOW, SHARD_BYTES, VOCABULARY_BYTES, COMMON = 64, 2 << 20, 16 << 20, 0.3
 SLACK = 6e-7  # of scores that are rounded to six digits
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -63,19 +64,20 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], df: dict[bytes, int], n_docs: int, *, mean: float | None = None, k1: float = K1, b: float = B, block: int = BLOCK, threshold: float = THRESHOLD, common: float = COMMON):
         common = min(common, 0.6 * threshold)
-        texts = [(i, words_of(t)) for i, t in items]
+        same: dict[bytes, bytes] = {}  # one object a word
+        texts = [(i, [same.setdefault(w, w) for w in words_of(t)]) for i, t in items]
         texts = sorted((i, w) for i, w in texts if w)
         self.ids = [i for i, _ in texts]
         self.halves = [(triples(w[: (len(w) + 1) // 2]), triples(w[(len(w) + 1) // 2 :])) for _, w in texts]
         self.sizes = [tuple(len(next(iter(h), ())) for h in halves) for halves in self.halves]
         self.stride, self.block, self.threshold = length_class(max((len(w) for _, w in texts), default=1)), block, threshold
         mean = mean or sum(len(w) for _, w in texts) / max(1, len(texts))
-        self.postings: dict[bytes, tuple[list[int], list[float], list[float]]] = {}
+        self.postings: dict[bytes, tuple[array, array, array]] = {}
         for n, (_, w) in enumerate(texts):
             own = {t: math.log(1 + (n_docs - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean)) for t, c in Counter(w).items()}
             total = sum(own.values())
             for t, x in own.items():
-                at = self.postings.setdefault(t, ([], [], []))
+                at = self.postings.setdefault(t, (array("i"), array("d"), array("d")))
                 at[0].append(n)
                 at[1].append(x / total)
         for nums, impacts, best in self.postings.values():
@@ -91,13 +93,12 @@ class Index:
                     held[n] += x
                 del self.rare[t]
         self.held, self.left_out = held, max(held, default=0.0)
-        self.rare_postings = {t: list(zip(*self.postings[t][:2])) for t in self.rare}
 
     def hopeful(self, terms: set[bytes]) -> bool:
         """Whether some item can reach the threshold: its impacts of the passage's rare terms and of all left-out ones."""
-        rare, got = self.rare_postings, {}
-        for t in terms & rare.keys():
-            for n, x in rare[t]:
+        postings, got = self.postings, {}
+        for t in terms & self.rare.keys():
+            for n, x in zip(*postings[t][:2]):
                 got[n] = got.get(n, 0.0) + x
         held, need = self.held, self.threshold - SLACK
         return any(x + held[n] >= need for n, x in got.items())
